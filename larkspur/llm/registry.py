@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import bpe, line_rules, mixing, url_filter
+from larkspur.llm import bpe, langid, line_rules, mixing, ordinal, url_filter
 
 
 def vocabulary_path() -> str:
@@ -24,6 +24,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(docs))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.digest(table(spark, sf_dir, "documents"))
 
@@ -32,14 +36,20 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op4_quality": op4_quality,
     "op5_line_rules": op5_line_rules,
     "op6_bpe": op6_bpe,
+    "op7_langid": op7_langid,
     "op8_url_filter": op8_url_filter,
 }
 
