@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import bpe, langid, line_rules, mixing, ordinal, url_filter
+from larkspur.llm import bpe, html_extract, langid, line_rules, mixing, ordinal, url_filter
 
 
 def vocabulary_path() -> str:
@@ -44,6 +44,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(table(spark, sf_dir, "pages"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op4_quality": op4_quality,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_langid": op7_langid,
     "op8_url_filter": op8_url_filter,
+    "op9_html_extract": op9_html_extract,
 }
 
 ORACLE_SQL: dict[str, str] = {}
