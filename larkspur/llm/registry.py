@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import ann, bpe, html_extract, jaccard, langid, line_rules, mixing, ordinal, url_filter
+from larkspur.llm import ann, bpe, brown, html_extract, jaccard, langid, line_rules, mixing, ordinal, url_filter
 
 
 def vocabulary_path() -> str:
@@ -28,6 +28,10 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.digest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op3_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +63,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_ann": op2_ann,
+    "op3_brown": op3_brown,
     "op4_quality": op4_quality,
     "op5_line_rules": op5_line_rules,
     "op6_bpe": op6_bpe,
