@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import ann, bpe, brown, html_extract, jaccard, langid, line_rules, mixing, ordinal, url_filter
+from larkspur.llm.oracles import ORACLE_SQL
 
 
 def vocabulary_path() -> str:
@@ -60,6 +61,8 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_ann": op2_ann,
@@ -73,4 +76,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard": op10_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
