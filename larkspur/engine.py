@@ -85,6 +85,15 @@ class Engine:
     def search(self, expression: str, body: dict | None = None, typed_keys: bool = False, **options) -> dict:
         return self.query(expression, body, **options).response(typed_keys)
 
+    def multi_search(self, requests: list[tuple[str, dict]]) -> list[dict]:
+        """Responses of several requests, in order."""
+        return [self.search(expression, body) for expression, body in requests]
+
+    def add_virtual_field(self, name: str, field: str, value) -> None:
+        """Gives all documents of a registered index a constant field."""
+        self.frames[name] = self.frames[name].withColumn(field, F.lit(value))
+        self.catalog.indexes[name].mapping = of_schema(self.frames[name].schema)
+
     def info(self) -> dict:
         return {"name": "larkspur", "version": {"number": "7.16.1"}, "indices": len(self.catalog.indexes)}
 

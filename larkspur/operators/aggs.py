@@ -74,6 +74,10 @@ class Aggregator:
             return F.try_divide(F.sum(v * w), F.sum(F.when(v.isNotNull(), w)))
         self._field(df, spec.get("field"), () if kind == "cardinality" else ("numeric",))
         c = F.col(f"`{spec['field']}`")
+        if spec.get("where"):  # values of matching documents only
+            c = F.when(F.coalesce(Compiler(df, self.mapping).compile(spec["where"]).predicate, F.lit(False)), c)
+        if spec.get("missing") is not None:
+            c = F.coalesce(c, F.lit(spec["missing"]).cast(df.schema[spec["field"]].dataType))
         array = isinstance(df.schema[spec["field"]].dataType, T.ArrayType)
         if kind == "cardinality":
             if array:

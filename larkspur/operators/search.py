@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.errors import BadRequest
+from larkspur.functions import geo
 from larkspur.operators.aggs import Aggregator, Node
 from larkspur.plans.mapping import Mapping
 from larkspur.plans.query import Compiler, statistics
@@ -42,6 +43,15 @@ class Search:
         stats = statistics(self.compiler, self.clause.terms)
         return self.matching().withColumn("_score", self.clause.score(stats))
 
+    def explain(self) -> DataFrame:
+        """Scored rows with ``_explanation``: each scoring term's statistics and its own score."""
+        stats = statistics(self.compiler, self.clause.terms)
+        parts = [
+            F.struct(F.lit(f).alias("field"), F.lit(t).alias("term"), F.lit(s["n"]).cast("long").alias("n"), F.lit(s["docs"]).cast("long").alias("docs"), F.lit(float(s["avg"] or 0)).alias("avg_length"), self.compiler.term(f, t).score(stats).alias("score"))
+            for (f, t), s in stats.items()
+        ]
+        return self.scored().withColumn("_explanation", F.array(*parts) if parts else F.lit(None))
+
     def order(self) -> list[tuple[str, bool, bool]]:
         """(column, ascending, nulls first) of the sort; score and id by default. The id parts ties."""
         out = []
@@ -52,6 +62,9 @@ class Search:
                 out.append((name, not entry.startswith("-") and (name != "_score" or entry.startswith("+")), False))
                 continue
             for name, spec in entry.items():
+                if name == "_geo_distance":
+                    out.append((self._distance_column(spec), spec.get("order", "asc") == "asc", False))
+                    continue
                 spec = {"order": spec} if isinstance(spec, str) else spec or {}
                 how = spec.get("order", "desc" if name == "_score" else "asc")
                 if how not in ("asc", "desc"):
@@ -65,6 +78,15 @@ class Search:
             out.append(("_id", True, False))
         return out
 
+    def _distance_column(self, spec: dict) -> str:
+        """Adds the distance in metres from a point as a column to sort by."""
+        (name, point), = ((k, v) for k, v in spec.items() if k not in ("order", "unit"))
+        column = f"_distance_{name}"
+        if column not in self.df.columns:
+            c = F.col(f"`{name}`")
+            self.df = self.df.withColumn(column, geo.haversine(c["lat"], c["lon"], F.lit(float(point["lat"])), F.lit(float(point["lon"]))))
+        return column
+
     def _after(self, order: list[tuple[str, bool, bool]], values: list) -> Column:
         """Rows behind ``values`` in the sort, which hold no nulls."""
         tests = []

@@ -145,7 +145,12 @@ class Compiler:
         test = lambda c: reduce(lambda a, b: a & b, [compare[k](c, read(v)) for k, v in bounds.items()], F.lit(True) if not bounds else c.isNotNull())
         if p.family == "text":
             return constant(F.coalesce(F.exists(self.tokens(name), test), F.lit(False)))
-        return constant(self.any_value(name, test))
+        predicate = self.any_value(name, test)
+        if name == "@timestamp" and "_day" in self.columns and not self.many(name):
+            for k, v in bounds.items():  # what follows for the day prunes partitions
+                day = F.to_date(self._instant(name, v))
+                predicate &= F.col("_day") >= day if k in ("gt", "gte") else F.col("_day") <= day
+        return constant(predicate)
 
     def _each_term(self, name: str, test: Callable[[Column], Column]) -> Clause:
         p = self.prop(name)

@@ -100,6 +100,25 @@ def test_aggregation_response(engine):
     assert "sterms#l" in engine.search("repos", body, typed_keys=True)["aggregations"]
 
 
+def test_days_are_pruned(engine):
+    df = engine.query("repos", {"query": {"range": {"@timestamp": {"gte": "2024-01-02", "lt": "2024-01-03"}}}}).matching()
+    scan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_day" in scan and df.count() == 2
+
+
+def test_explanation_and_virtual_fields(engine, spark):
+    row = engine.query("repos", {"query": {"match": {"desc": "dog"}}}).explain().where("_id = '2'").first()
+    assert row["_explanation"][0]["n"] == 2 and abs(row["_explanation"][0]["score"] - row["_score"]) < 1e-12
+    e = Engine(spark)
+    e.register("t", spark.createDataFrame([("1", (10.0, 20.0), 1.0), ("2", (0.0, 0.0), None)], "_id string, at struct<lat: double, lon: double>, x double"))
+    e.add_virtual_field("t", "kind", "k")
+    near = {"query": {"term": {"kind": "k"}}, "sort": [{"_geo_distance": {"at": {"lat": 0, "lon": 1}, "order": "asc"}}]}
+    assert [h["_id"] for h in e.multi_search([("t", near)])[0]["hits"]["hits"]] == ["2", "1"]
+    aggs = {"a": {"avg": {"field": "x", "missing": 3.0}}, "w": {"sum": {"field": "x", "where": {"ids": {"values": ["1"]}}}}}
+    out = e.search("t", {"size": 0, "aggs": aggs})["aggregations"]
+    assert out["a"]["value"] == 2.0 and out["w"]["value"] == 1.0
+
+
 def test_bounds_and_gaps(spark):
     df = spark.createDataFrame([(1.0,), (2.5,), (31.0,), (None,)], "x double")
     m = M.of_schema(df.schema)
