@@ -346,8 +346,11 @@ add("x_geo_sort", lambda spark, d: places(spark, d).select("_id", F.round(geo.ha
 
 
 def _shared(spark: SparkSession) -> str:
-    """A folder for small demonstration indexes: the shared checkpoint folder, or a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    """A folder for small demonstration indexes: the shared checkpoint folder, or on one machine a local one."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or f"file://{tempfile.mkdtemp()}"
     return f"{base.rstrip('/')}/{spark.range(1).select(F.expr('uuid()')).first()[0]}"
 
 
