@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.arrays import lists
 from larkspur.llm.bpe import Memo
 
 BITS = 18
@@ -70,10 +71,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], grades: np.ndarr
     t2 = np.full(n_grades - 1, 1.0)
     rng = np.random.default_rng(seed)
     cuts = lambda: start + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-    inner = [(np.concatenate((p, (1 << BITS) + np.arange(SHAPES))), np.concatenate((v, s))) for p, v, s in rows]
+    shapes = (1 << BITS) + np.arange(SHAPES)
     for _ in range(rounds):
-        for i in rng.permutation(len(inner)):
-            at, v = inner[i]
+        for i in rng.permutation(len(rows)):
+            at, v = np.concatenate((rows[i][0], shapes)), np.concatenate((rows[i][1], rows[i][2]))
             theta, y = cuts(), int(grades[i])
             tail = _sigmoid(w[at] @ v - theta)  # P(grade > k)
             above, below = (tail[y - 1] if y else 1.0), (tail[y] if y < n_grades - 1 else 0.0)
@@ -118,8 +119,10 @@ def learn(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str =
             yield pd.DataFrame({"grade": f["grade"], "at": [x[0] for x in got], "v": [x[1] for x in got], "s": [x[2] for x in got]})
 
     rows = docs.select(id_col, "text").join(F.broadcast(ids), id_col).select("grade", "text")  # the ids are bounded by the sample
-    rows = rows.mapInPandas(run, "grade int, at array<int>, v array<float>, s array<double>").limit(2 * sample).toPandas()
-    found = sorted(((int(r.grade), np.asarray(r.at, dtype=np.int64), np.asarray(r.v, dtype=np.float64), list(r.s)) for r in rows.itertuples()), key=lambda x: (x[0], x[3], x[1].tolist()))
+    rows = rows.mapInPandas(run, "grade int, at array<int>, v array<float>, s array<double>").toArrow()
+    grade = rows["grade"].to_numpy()
+    found = [(int(g), *x) for g, *x in zip(grade, lists(rows["at"]), lists(rows["v"]), lists(rows["s"]), strict=True)]
+    found.sort(key=lambda x: (x[0], len(x[1]), zlib.crc32(x[1].tobytes()), x[3].tobytes()))
     if not found:
         return Ratings(np.zeros((1 << BITS) + SHAPES, dtype=np.float32), np.zeros(n_grades - 1))
     grades = np.array([x[0] for x in found])
@@ -140,7 +143,7 @@ def score(docs: DataFrame, model: Ratings, keep: float = 0.2) -> DataFrame:
     def rate(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         w, theta = sent.value.weights.astype(np.float64), sent.value.thresholds
         hashed = w.tolist()
-        known = Memo(lambda x: math.fsum([hashed[p] for p in word_features(x)]), 1 << 18)
+        known = Memo(lambda x: math.fsum([hashed[p] for p in word_features(x)]), 1 << 17)
         for texts in frames:
             out = []
             for text in texts:
@@ -152,7 +155,8 @@ def score(docs: DataFrame, model: Ratings, keep: float = 0.2) -> DataFrame:
             yield pd.DataFrame(out, columns=["expected_grade", "p_best", "kept"])
 
     names = ("expected_grade", "p_best", "kept")
-    return docs.withColumn("_rate", rate("text")).withColumns({n: F.col(f"_rate.{n}") for n in names}).drop("_rate")
+    once = rate.asNondeterministic()  # else a filter on the result runs it a second time
+    return docs.withColumn("_rate", once("text")).withColumns({n: F.col(f"_rate.{n}") for n in names}).drop("_rate")
 
 
 def grades_of_labels(labels: DataFrame) -> DataFrame:
