@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.arrays import lists
+
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fy lb af yi",
     "romance": "fr es it pt ro ca gl oc la",
@@ -95,7 +97,7 @@ def train_pair(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, cost
     for _ in range(rounds):
         for i in rng.permutation(len(rows)):
             at, v = rows[i]
-            margin = sign[i] * (SCALE * (w[at] @ v) + b)
+            margin = sign[i] * (SCALE * float(w[at] @ v) + b)
             new = min(max(alpha[i] - (margin - 1) / norm[i], 0.0), cost)
             if new != alpha[i]:
                 step = (new - alpha[i]) * sign[i]
@@ -183,9 +185,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", sample: int = 1200, most: int
             got = [features(t or "") for t in f["text"]]
             yield pd.DataFrame({"lang": f["lang"], "at": [a for a, _ in got], "v": [v for _, v in got]})
 
-    rows = drawn.select("lang", "text").mapInPandas(run, "lang string, at array<int>, v array<float>").limit(2 * most).toPandas()
-    found = [(r.lang, np.asarray(r.at, dtype=np.int64), np.asarray(r.v, dtype=np.float64)) for r in rows.itertuples() if len(r.at)]
-    found.sort(key=lambda x: (x[0], x[1].tolist(), x[2].tolist()))
+    rows = drawn.select("lang", "text").mapInPandas(run, "lang string, at array<int>, v array<float>").toArrow()
+    found = [x for x in zip(rows["lang"].to_pylist(), lists(rows["at"]), lists(rows["v"]), strict=True) if len(x[1])]
+    found.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes(), x[2].tobytes()))
     return train(found)
 
 
@@ -201,7 +203,8 @@ def identify(docs: DataFrame, machine: Machine) -> DataFrame:
         langs, scores = predict(sent.value, [None if t is None else t for t in texts])
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    return docs.withColumn("_guess", guess("text")).withColumns({"lang_pred": F.col("_guess.lang_pred"), "score": F.col("_guess.score")}).drop("_guess")
+    once = guess.asNondeterministic()  # else a filter on the result runs it a second time
+    return docs.withColumn("_guess", once("text")).withColumns({"lang_pred": F.col("_guess.lang_pred"), "score": F.col("_guess.score")}).drop("_guess")
 
 
 def digest(docs: DataFrame) -> DataFrame:
