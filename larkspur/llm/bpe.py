@@ -103,6 +103,12 @@ class Codec:
         self.of_word = Memo(self._word, 1 << 17)
         self.of_chunk = Memo(self._chunk, 1 << 17)
 
+    def forget(self) -> None:
+        """Empties the memos, so that an idle worker holds the tables only."""
+        for memo in (self.fits, self.of_word, self.of_chunk):
+            memo.clear()
+            memo.old = {}
+
     def _edge(self, t: int, side: int) -> list[tuple[int, float]]:
         """What stands at one end of ``t`` while it is being merged, from the single character to ``t``, each
         with the rank of the merge that ends it."""
@@ -238,6 +244,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
         codec = _codec(vocabulary.value)
         for f in frames:
             yield pd.DataFrame({id_col: f[id_col], "ids": [codec.encode(t) for t in f["text"]]})
+        codec.forget()
 
     return docs.select(id_col, "text").mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
 
@@ -260,9 +267,12 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(vocabulary.value)
-        for f in frames:
-            n, ids, decoded = zip(*map(codec.digest, f["text"]), strict=True) if len(f) else ((), (), ())
-            yield pd.DataFrame({id_col: f[id_col], "n_tokens": pd.Series(n, dtype="int64"), "ids_sha256": pd.Series(ids, dtype=object), "decoded_sha256": pd.Series(decoded, dtype=object)})
+        try:
+            for f in frames:
+                n, ids, decoded = zip(*map(codec.digest, f["text"]), strict=True) if len(f) else ((), (), ())
+                yield pd.DataFrame({id_col: f[id_col], "n_tokens": pd.Series(n, dtype="int64"), "ids_sha256": pd.Series(ids, dtype=object), "decoded_sha256": pd.Series(decoded, dtype=object)})
+        finally:
+            codec.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, "text").mapInPandas(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
