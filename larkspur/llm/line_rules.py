@@ -67,13 +67,13 @@ def _covered(windows: str, window: int) -> Column:
 
 
 def clean(docs: DataFrame, max_lost: float = 0.7, min_words: int = 20, max_repeat_percent: int = 30, window: int = 8) -> DataFrame:
-    """All columns of ``docs`` and ``quality``, a struct of the base counts, the verdict and the cleaned text.
+    """All columns of ``docs`` and ``quality`` (one of that name is replaced), a struct of the base counts, the verdict and the cleaned text.
 
     Null texts count as empty: no words, all counts zero, ``base_failed``. A text whose lines are all good is
     kept unchanged. Repeated rows get equal results; columns of any other name pass through. Very long texts
     cost time in proportion to their length times its logarithm, within one row.
     """
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
+    own = [F.col(f"d.`{c}`") for c in docs.columns if c != "quality"]
     row = docs.select(F.struct(*docs.columns).alias("d"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
     row = row.select("d", "t", words(F.col("t")).alias("words"), F.split("t", "\n").alias("lines"))
     row = row.select("d", "t", "lines", F.size("words").cast("long").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w)).alias("word_hashes"))
