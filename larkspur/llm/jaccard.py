@@ -25,7 +25,8 @@ from larkspur.llm.components import connected_components
 from larkspur.llm.line_rules import SPACES
 from larkspur.llm.storage import stage
 
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
+BUCKETS = 1 << 20
 M64 = np.uint64
 MIX = [M64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -37,7 +38,7 @@ def _lower(x):
 def word_counts(docs: DataFrame) -> np.ndarray:
     """How often the words of each counter stand in all texts: ``COUNTERS`` numbers, whatever the input's size."""
     words = docs.select(F.explode(F.split(_lower(F.col("text")), SPACES)).alias("w"))
-    counts = words.select(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("c")).groupBy("c").count().toPandas()
+    counts = words.select(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("c")).groupBy("c").count().toArrow()
     out = np.zeros(COUNTERS, dtype=np.int64)
     out[counts["c"].to_numpy()] = counts["count"].to_numpy()
     return out
@@ -112,13 +113,24 @@ def shingle_set(text: str, width: int) -> set:
     return {tuple(words)} if 0 < len(words) < width else set(zip(*[words[k:] for k in range(width)]))
 
 
+def only(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``rows`` whose key is among ``ids`` (a column ``id``).
+
+    Most others go before the shuffle: their keys fall into none of ``BUCKETS`` buckets that ids fall into. That
+    table has ``BUCKETS`` rows at most, 8 MB, so it may be broadcast.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    used = ids.select(bucket("id").alias("_bucket")).distinct()
+    return rows.join(F.broadcast(used), bucket(key) == F.col("_bucket"), "left_semi").join(ids.withColumnRenamed("id", key), key, "left_semi")
+
+
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are similar. The second and third orders come first, then the texts."""
-    short = reps.select("id", "p2", "p3")
+    ends = lambda p: stage(p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct(), "ends")
+    short = stage(only(reps.select("id", "p2", "p3"), "id", ends(pairs)), "prefixes")
     near = pairs.join(short.toDF("a", "a2", "a3"), "a").join(short.toDF("b", "b2", "b3"), "b")
     near = stage(near.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b"), "candidates")
-    needed = near.select(F.col("a").alias(id_col)).unionByName(near.select(F.col("b").alias(id_col))).distinct()
-    texts = stage(docs.select(id_col, "text").join(needed, id_col, "left_semi").dropDuplicates([id_col]), "texts")
+    texts = stage(only(docs.select(id_col, "text"), id_col, ends(near)).dropDuplicates([id_col]), "texts")
     both = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,9 +165,11 @@ def components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
     reps = sig.join(classes.select(F.col("rep").alias(id_col)), id_col, "left_semi").dropDuplicates([id_col])
     reps = stage(reps.select(F.col(id_col).alias("id"), "n", "p1", "p2", "p3"), "representatives")
     tokens = reps.select("id", "n", F.explode("p1").alias("token"))
+    shared = stage(tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "shared")
+    common = stage(tokens.join(shared, "token", "left_semi").select("token", "id", "n"), "common")
     pivot = lambda seed: F.min(F.struct(F.xxhash64("id", F.lit(seed)), "id", "n"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("m"), pivot(1).alias("v1"), pivot(2).alias("v2")).where("m > 1").drop("m")
-    members = stage(tokens.join(shared, "token").select("token", "id", "n", "v1.id", "v1.n", "v2.id", "v2.n").toDF("token", "id", "n", "v1", "n1", "v2", "n2"), "members")
+    pivots = common.groupBy("token").agg(pivot(1).alias("v1"), pivot(2).alias("v2"))
+    members = stage(common.join(pivots, "token").select("token", "id", "n", "v1.id", "v1.n", "v2.id", "v2.n").toDF("token", "id", "n", "v1", "n1", "v2", "n2"), "members")
     pairs = members.where(_close(F.col("n"), F.col("n1"), percent)).select("v1", "id").unionByName(members.where(_close(F.col("n"), F.col("n2"), percent)).select(F.col("v2").alias("v1"), "id"))
     pairs = stage(pairs.where("v1 != id").distinct().toDF("a", "b"), "pairs")
     links = verified(pairs, reps, docs, id_col, width, percent)

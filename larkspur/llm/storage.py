@@ -44,9 +44,15 @@ def write(df: DataFrame, name: str) -> str:
     """Writes ``df`` as Parquet to a new folder and returns its path."""
     path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _release(df.sparkSession)
     return path
 
 
+def _release(spark: SparkSession) -> None:
+    """Lets the context's cleaner delete the shuffle files behind a table that is now written."""
+    spark._jvm.System.gc()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` and reads it back, so that a lost executor costs no recomputation before it."""
     spark, schema = df.sparkSession, df.schema
