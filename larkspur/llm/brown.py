@@ -113,9 +113,10 @@ def pair_counts(chunks: DataFrame, head: dict[bytes, int]) -> np.ndarray:
                 counts = np.bincount(of, weights=np.concatenate((counts, n)), minlength=len(codes)).astype(np.int64)
         yield pa.record_batch([pa.array(codes), pa.array(counts)], ["code", "n"])
 
-    found = chunks.select("words", "tokens", "lens", "train").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size * size)
-    out[found["code"].to_numpy()] = found["n"].to_numpy()
+    found = chunks.select("words", "tokens", "lens", "train").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    out = np.zeros(size * size, dtype=np.float32)
+    for b in found.select(F.col("code").cast("int"), F.col("n").cast("float")).toArrow().to_batches():
+        out[b.column(0).to_numpy()] = b.column(1).to_numpy()
     return out.reshape(size, size)
 
 
@@ -134,8 +135,8 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     k = classes + 1
     member = np.zeros((size, k))
     member[np.arange(size), of] = 1
-    table = member.T @ pairs @ member
-    out_n, in_n = pairs.sum(axis=1), pairs.sum(axis=0)
+    table = member.T @ (pairs @ member)
+    out_n, in_n = pairs.sum(axis=1, dtype=np.float64), pairs.sum(axis=0, dtype=np.float64)
     out_c, in_c = member.T @ out_n, member.T @ in_n
     transposed = np.ascontiguousarray(pairs.T)
     diagonal = np.arange(k)
@@ -144,7 +145,7 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
         for w in range(size - 1):
             if out_n[w] == in_n[w] == 0:
                 continue
-            old, self_ = of[w], pairs[w, w]
+            old, self_ = of[w], float(pairs[w, w])
             right = np.bincount(of, weights=pairs[w], minlength=k)
             left = np.bincount(of, weights=transposed[w], minlength=k)
             right[old] -= self_
@@ -272,7 +273,6 @@ def document_sums(chunks: DataFrame, rare: DataFrame, model: Classes, emission:
 
 def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = write(df, name)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets go of the shuffle files behind the written table
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -297,7 +297,8 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", classes: int = 16, hea
     of = exchange(pairs, classes)
     member = np.zeros((len(of), classes + 1))
     member[np.arange(len(of)), of] = 1
-    seen = member.T @ pairs @ member
+    seen = member.T @ (pairs @ member)
+    del pairs
     share = member.T @ np.array([n for _, n in top] + [ends], dtype=float) + 1e-3
     share /= share.sum()
     follow = np.log((seen + alpha * share) / (seen.sum(axis=1, keepdims=True) + alpha))
