@@ -1,16 +1,20 @@
 """Language-model scoring with Brown classes.
 
-Exchange clustering gives the most frequent words their classes; every rarer word is then moved once, to the
-class that its neighbours make most likely. P(word | word before) = P(class | class before) P(word | class);
-transitions are smoothed by the classes' shares, emissions give up ``discount`` counts a word to the unseen.
+Exchange clustering over all words. It starts from the ``head`` most frequent words, which are exchanged one by one
+on exact pair counts; every other word joins the class that its neighbours in the head make most likely. Then rounds
+of exchange move words of any frequency, each against the table of class pairs, by the word's own counts with the
+classes before and after it in the whole corpus. A round that lowers the likelihood is undone and repeated with
+half of the words. P(word | word before) = P(class | class before) P(word | class); transitions are smoothed by the
+classes' shares, emissions give up ``discount`` counts a word to the unseen.
 
 The corpus is read once and kept as chunks: a chunk has its own short word list, and its documents as numbers
-in it. Counts over all words are distributed tables; only the ``head`` most frequent words, their pair counts
-(``head`` squared at most) and class tables reach the driver.
+in it. Words are dealt by hash into buckets, which add up what the chunks counted; chunks and buckets exchange packed
+arrays. Only the pair counts of the head (``head`` squared at most) and class tables reach the driver.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,14 +29,23 @@ from pyspark.sql import functions as F
 from larkspur.llm.storage import remove, write
 
 CHUNK = 8_000_000
+BUCKET = 200_000  # words that the chunks list, in a bucket
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x, dtype=np.int32).tobytes(), 3)
+def _pack(x: np.ndarray, kind=np.int32) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x, dtype=kind).tobytes(), 3)
 
 
-def _unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(b), dtype=np.int32)
+def _unpack(b: bytes, kind=np.int32) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(b), dtype=kind)
+
+
+def _pack_rising(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=0))
+
+
+def _unpack_rising(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b), dtype=np.int64)
 
 
 def _chunk(number: int, ids: list, train: list, texts: list) -> dict:
@@ -41,7 +54,8 @@ def _chunk(number: int, ids: list, train: list, texts: list) -> dict:
     tokens = np.fromiter((place.setdefault(w, len(place)) for ws in lists for w in ws), dtype=np.int32, count=sum(map(len, lists)))
     lens = np.array([len(x) for x in lists], dtype=np.int32)
     n = np.bincount(tokens[np.repeat(np.array(train, dtype=bool), lens)], minlength=len(place))
-    return {"chunk": number, "words": zstandard.compress(b" ".join(place), 3), "n": _pack(n), "tokens": _pack(tokens), "lens": _pack(lens), "ids": ids, "train": train}
+    order = np.argsort(np.fromiter(map(zlib.crc32, place), dtype=np.uint32, count=len(place)), kind="stable")
+    return {"chunk": number, "size": len(place), "order": _pack(order), "words": zstandard.compress(b" ".join(place), 3), "n": _pack(n), "tokens": _pack(tokens), "lens": _pack(lens), "ids": ids, "train": train}
 
 
 def chunks_of(docs: DataFrame, id_col: str, train) -> DataFrame:
@@ -61,7 +75,7 @@ def chunks_of(docs: DataFrame, id_col: str, train) -> DataFrame:
         if held[0]:
             yield pd.DataFrame([_chunk(number, *held)])
 
-    return rows.mapInPandas(run, "chunk long, words binary, n binary, tokens binary, lens binary, ids array<string>, train array<boolean>")
+    return rows.mapInPandas(run, "chunk long, size long, order binary, words binary, n binary, tokens binary, lens binary, ids array<string>, train array<boolean>")
 
 
 def _words(blob: bytes) -> list[bytes]:
@@ -79,14 +93,48 @@ def _map(df: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
     return df.select(columns).mapInArrow(run, schema)
 
 
-def word_counts(chunks: DataFrame) -> DataFrame:
-    """``(word, n)`` over all training texts."""
+def number_words(chunks: DataFrame, buckets: int, head: int) -> DataFrame:
+    """Words by bucket: for each chunk the numbers and total training counts of its words there, in the chunk's ``order``.
 
-    def work(row: dict) -> Iterator[pa.RecordBatch]:
-        words, n = np.array(_words(row["words"]), dtype=object), _unpack(row["n"])
-        yield pa.record_batch([pa.array(words[n > 0].tolist(), pa.binary()), pa.array(n[n > 0].astype(np.int64))], ["word", "n"])
+    A row with chunk -1 is the bucket's own: counts and a byte of the hash for each of its words, and its ``head``
+    most frequent ones. Numbers follow the hash.
+    """
 
-    return _map(chunks, ["words", "n"], work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def work(row: dict) -> Iterator[pa.RecordBatch]:
+        words, n, order = _words(row["words"]), _unpack(row["n"]), _unpack(row["order"])
+        of = np.fromiter((zlib.crc32(words[i]) * buckets >> 32 for i in order), dtype=np.int64, count=len(order))
+        at = np.searchsorted(of, np.arange(buckets + 1))
+        full = [(b, order[at[b] : at[b + 1]]) for b in range(buckets) if at[b] < at[b + 1]]
+        yield pa.record_batch(
+            [pa.array([b for b, _ in full], pa.int32()), pa.array([row["chunk"]] * len(full), pa.int64()), pa.array([zstandard.compress(b" ".join([words[i] for i in o]), 3) for _, o in full], pa.binary()), pa.array([_pack(n[o]) for _, o in full], pa.binary())],
+            ["bucket", "chunk", "words", "n"],
+        )
+
+    def add_up(f: pd.DataFrame) -> pd.DataFrame:
+        place: dict[bytes, int] = {}
+        first = [np.fromiter((place.setdefault(w, len(place)) for w in _words(b)), dtype=np.int64) for b in f["words"]]
+        words = list(place)
+        hashes = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words))
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        total = np.zeros(len(words), dtype=np.int64)
+        for ids, n in zip(first, f["n"], strict=True):
+            total[rank[ids]] += _unpack(n)
+        often = np.flatnonzero(total >= (np.partition(total, -head)[-head] if len(total) > head else 1))
+        top = sorted(((-int(total[i]), words[order[i]]) for i in often if total[i]))[:head]
+        out = [(f["bucket"].iloc[0], -1, _pack(np.zeros(0)), _pack(total, np.int64), _pack(hashes[order] & 255, np.uint8), [{"word": w, "n": -n} for n, w in top])]
+        out += [(f["bucket"].iloc[0], c, _pack_rising(rank[ids]), _pack(total[rank[ids]], np.int64), b"", []) for c, ids in zip(f["chunk"], first, strict=True)]
+        return pd.DataFrame(out, columns=["bucket", "chunk", "ids", "n", "draw", "top"])
+
+    listed = _map(chunks, ["chunk", "words", "n", "order"], work, "bucket int, chunk long, words binary, n binary")
+    return listed.groupBy("bucket").applyInPandas(add_up, "bucket int, chunk long, ids binary, n binary, draw binary, top array<struct<word: binary, n: long>>")
+
+
+def bucket_sums(numbers: DataFrame, values: DataFrame | None, work, schema: str):
+    """``work`` on the buckets' own rows, with the classes of ``values`` beside them where given."""
+    own = numbers.where("chunk = -1")
+    return _map(own if values is None else own.join(values.where("chunk = -1").select("bucket", "of"), "bucket"), ["n"] + ["of"] * (values is not None), work, schema)
 
 
 def _stream(tokens: np.ndarray, lens: np.ndarray, train: list[bool], end: int) -> np.ndarray:
@@ -178,35 +226,172 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
 
 @dataclass
 class Classes:
-    """Head words with count and class; log transition shares among classes (the end's is the last)."""
+    """Classes of the head words; log transition shares among classes (the end's is the last)."""
 
-    head: dict[bytes, tuple[int, int]]
+    head: dict[bytes, int]
     follow: np.ndarray
     share: np.ndarray
     classes: int
 
 
-def rare_words(chunks: DataFrame, model: Classes) -> DataFrame:
-    """``(word, n, class)`` of the words outside the head: each chunk names the class that the word's neighbours in
-    it make most likely; the class with most occurrences behind it holds."""
-    sent = chunks.sparkSession.sparkContext.broadcast(model)
+STATE = "bucket int, chunk long, ids binary, of binary, draw binary"
+VOTES = "bucket int, chunk long, ids binary, of binary, draw binary, codes binary, times binary, pairs array<long>"
 
-    def work(row: dict) -> Iterator[pa.RecordBatch]:
-        m, words, n = sent.value, _words(row["words"]), _unpack(row["n"])
-        of = np.array([m.head[w][1] if w in m.head else -1 for w in words] + [m.classes], dtype=np.int64)
-        s = _stream(_unpack(row["tokens"]), _unpack(row["lens"]), row["train"], -1)
-        c = of[s]
-        at = np.flatnonzero(c < 0)
-        before, after = c[at - 1], c[at + 1]
-        score = np.where((before >= 0)[:, None], m.follow[before][:, : m.classes], m.share[None, : m.classes])
-        score += np.where((after >= 0)[:, None], m.follow.T[after][:, : m.classes], 0.0)
-        votes = np.stack([np.bincount(s[at], weights=score[:, k], minlength=len(words)) for k in range(m.classes)], axis=1)
-        rare = np.flatnonzero((of[:-1] < 0) & (n > 0))
-        best = votes[rare].argmax(axis=1) if len(rare) else np.zeros(0, np.int64)
-        yield pa.record_batch([pa.array([words[i] for i in rare], pa.binary()), pa.array(best.astype(np.int32)), pa.array(n[rare].astype(np.int64))], ["word", "class", "n"])
-
-    votes = _map(chunks, ["words", "n", "tokens", "lens", "train"], work, "word binary, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
-    return votes.groupBy("word").agg(F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("class")).alias("c")))["c"].alias("c")).select("word", "n", (-F.col("c")).alias("class"))
+
+def neighbour_counts(chunks: DataFrame, state: DataFrame, classes: int, first: Classes | None = None) -> DataFrame:
+    """What each chunk counts of its words' neighbours: by word and class before, class after, and the word itself.
+
+    Beside them, with bucket -1, pairs of classes. ``first`` has the classes before any round, where words outside
+    the head have none (one more class); afterwards ``state`` has them.
+    """
+    k, sent = classes + 2, chunks.sparkSession.sparkContext.broadcast(first)
+    wide = 2 * k + 1
+
+    def count(f: pd.DataFrame, slices: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        slices = slices.sort_values("bucket")
+        for row in f.itertuples():
+            order, lens = _unpack(row.order), _unpack(row.lens)
+            size = len(order)
+            of = np.full(size + 1, k - 1, dtype=np.int64)
+            of[size] = classes
+            if sent.value is not None:
+                for i, w in enumerate(_words(row.words)):
+                    of[i] = sent.value.head.get(w, k - 1)
+            elif size:
+                of[order] = np.concatenate([_unpack(b, np.int8) for b in slices["of"]])
+            rank = np.empty(size + 1, dtype=np.int64)
+            rank[order], rank[size] = np.arange(size), size
+            s = _stream(_unpack(row.tokens), lens, row.train, size)
+            a, b = s[:-1], s[1:]
+            out.append((-1, row.chunk, b"", b"", b"", b"", b"", np.bincount(of[a] * k + of[b], minlength=k * k)))
+            same = a == b
+            after = rank[a] * wide + np.where(same, 2 * k, k + of[b])
+            before = (rank[b] * wide + of[a])[~same]
+            n = np.bincount(np.concatenate((after, before)), minlength=(size + 1) * wide)[: size * wide]
+            codes = np.flatnonzero(n)
+            times, at, start = n[codes], codes // wide, 0
+            del n, after, before
+            for bucket, packed in zip(slices["bucket"], slices["ids"], strict=True):
+                ids = _unpack_rising(packed)
+                lo, hi = np.searchsorted(at, (start, start + len(ids)))
+                mine = ids[at[lo:hi] - start] * wide + codes[lo:hi] % wide
+                out.append((bucket, row.chunk, packed, _pack(of[order[start : start + len(ids)]], np.int8), b"", _pack_rising(mine), _pack(times[lo:hi]), None))
+                start += len(ids)
+        return pd.DataFrame(out, columns=[c.split()[0] for c in VOTES.split(", ")])
+
+    columns = ["chunk", "order", "tokens", "lens", "train"] + ["words"] * (first is not None)
+    by_chunk = chunks.select(columns).groupBy("chunk").cogroup(state.where("chunk >= 0").select("bucket", "chunk", "ids", *(["of"] if first is None else [])).groupBy("chunk"))
+    own = state.where("chunk = -1").select("bucket", "chunk", "ids", "of" if first is None else F.lit(b"").alias("of"), "draw")
+    own = own.select("*", F.lit(b"").alias("codes"), F.lit(b"").alias("times"), F.lit(None).cast("array<long>").alias("pairs"))
+    return by_chunk.applyInPandas(count, VOTES).unionByName(own)
+
+
+def class_pairs(votes: DataFrame, classes: int) -> np.ndarray:
+    """The table of class pairs (words by class, the end) of all chunks."""
+    out = np.zeros((classes + 2) ** 2)
+    for r in votes.where("bucket = -1").select(F.posexplode("pairs")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+        out[r["pos"]] = r["n"]
+    return out.reshape(classes + 2, classes + 2)
+
+
+def likelihood(table: np.ndarray) -> float:
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
+
+
+def best_classes(before: np.ndarray, after: np.ndarray, same: np.ndarray, of: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """For each word the class to which it would move alone: the exchange step of ``exchange`` for many words at once."""
+    new = of.copy()
+    k, diagonal = len(table), np.arange(len(table))
+    out_c, in_c = table.sum(axis=1), table.sum(axis=0)
+    for at in range(0, len(of), 2048):
+        left, right, self_, old = before[at : at + 2048].astype(float), after[at : at + 2048].astype(float), same[at : at + 2048].astype(float), of[at : at + 2048]
+        i = np.arange(len(old))
+        t = np.repeat(table[None], len(old), axis=0)
+        t[i, old] -= right
+        t[i, :, old] -= left
+        t[i, old, old] -= self_
+        out_n, in_n = right.sum(axis=1) + self_, left.sum(axis=1) + self_
+        out_k, in_k = np.repeat(out_c[None], len(old), axis=0), np.repeat(in_c[None], len(old), axis=0)
+        out_k[i, old] -= out_n
+        in_k[i, old] -= in_n
+        plain, corner = _xlogx(t), t[:, diagonal, diagonal]
+        to_row, to_column = _xlogx(t + right[:, None, :]) - plain, _xlogx(t + left[:, :, None]) - plain
+        gain = to_row.sum(axis=2) - to_row[:, diagonal, diagonal] + to_column.sum(axis=1) - to_column[:, diagonal, diagonal]
+        gain += _xlogx(corner + right + left + self_[:, None]) - _xlogx(corner)
+        gain -= _xlogx(out_k + out_n[:, None]) - _xlogx(out_k) + _xlogx(in_k + in_n[:, None]) - _xlogx(in_k)
+        best = gain[:, :classes].argmax(axis=1)
+        new[at : at + 2048] = np.where(gain[i, best] > gain[i, old] + 1e-9, best, old)
+    return new
+
+
+def reclassed(votes: DataFrame, classes: int, table: np.ndarray, first: Classes | None = None, low: int = 0, high: int = 256) -> DataFrame:
+    """New classes for the words of every bucket, and so for its chunks. Words whose hash byte is in [low, high) move."""
+    k, sent = classes + 2, votes.sparkSession.sparkContext.broadcast((table, first))
+    wide = 2 * k + 1
+
+    def move(f: pd.DataFrame) -> pd.DataFrame:
+        table, first = sent.value
+        own, rest = f[f["chunk"] < 0].iloc[0], f[f["chunk"] >= 0]
+        draw = _unpack(own["draw"], np.uint8)
+        size = len(draw)
+        n = np.zeros(size * wide, dtype=np.int64)
+        old = np.full(size, k - 1, dtype=np.int64)
+        for r in rest.itertuples():
+            n[_unpack_rising(r.codes)] += _unpack(r.times)
+            if first is not None:
+                old[_unpack_rising(r.ids)] = _unpack(r.of, np.int8)
+        n = n.reshape(size, wide)
+        if first is not None:
+            before, after = n[:, :k], n[:, k : 2 * k]
+            score = before[:, : classes + 1] @ first.follow[:, :classes] + (before[:, k - 1] + n[:, 2 * k])[:, None] * first.share[:classes] + after[:, : classes + 1] @ first.follow.T[:, :classes]
+            new = np.where(old == k - 1, score.argmax(axis=1), old)
+        else:
+            old = _unpack(own["of"], np.int8).astype(np.int64)
+            new = old.copy()
+            may = np.flatnonzero((draw >= low) & (draw < high) & (n.any(axis=1)))
+            both = np.ascontiguousarray(np.concatenate((n[may], old[may, None]), axis=1).astype(np.int32))
+            _, at, kind = np.unique(both.view(np.dtype((np.void, both.shape[1] * 4))).ravel(), return_index=True, return_inverse=True)
+            x = both[at]
+            new[may] = best_classes(x[:, : classes + 1], x[:, k : k + classes + 1], x[:, 2 * k], x[:, -1].astype(np.int64), table[: classes + 1, : classes + 1], classes)[kind]
+        out = [(own["bucket"], -1, own["ids"], _pack(new, np.int8), own["draw"])]
+        out += [(r.bucket, r.chunk, r.ids, _pack(new[_unpack_rising(r.ids)], np.int8), b"") for r in rest.itertuples()]
+        return pd.DataFrame(out, columns=["bucket", "chunk", "ids", "of", "draw"])
+
+    return votes.where("bucket >= 0").drop("pairs").groupBy("bucket").applyInPandas(move, STATE)
+
+
+def exchange_all(chunks: DataFrame, numbers: DataFrame, first: Classes, rounds: int) -> tuple[DataFrame, str]:
+    """Classes of all words, by bucket and chunk, and their path: exchange in rounds after the head's.
+
+    A round moves the words in a range of hash bytes. Rounds go on after number ``rounds`` until every word had its turn.
+    """
+    classes = first.classes
+    votes, votes_path = _kept(neighbour_counts(chunks, numbers, classes, first), "votes")
+    state, path = _kept(reclassed(votes, classes, np.zeros((1, 1)), first), "classes")
+    remove(chunks.sparkSession, votes_path)
+    if not rounds:
+        return state, path
+    votes, votes_path = _kept(neighbour_counts(chunks, state, classes), "votes")
+    table, low, width, done = class_pairs(votes, classes), 0, 128, 0
+    while done < rounds or low < 256:
+        high = low % 256 + width
+        new, new_path = _kept(reclassed(votes, classes, table, None, low % 256, high), "classes")
+        new_votes, new_votes_path = _kept(neighbour_counts(chunks, new, classes), "votes")
+        new_table = class_pairs(new_votes, classes)
+        gain = likelihood(new_table) - likelihood(table)
+        if gain >= 0:
+            (path, new_path), (votes_path, new_votes_path) = (new_path, path), (new_votes_path, votes_path)
+            state, votes, table = new, new_votes, new_table
+        remove(chunks.sparkSession, new_path)
+        remove(chunks.sparkSession, new_votes_path)
+        done += 1
+        if gain >= 0 or width == 1:
+            low += width
+        else:
+            width //= 2
+    remove(chunks.sparkSession, votes_path)
+    return state, path
 
 
 @dataclass
@@ -221,38 +406,29 @@ class Emission:
     discount: float
 
 
-def document_sums(chunks: DataFrame, rare: DataFrame, model: Classes, emission: Emission) -> DataFrame:
+def document_sums(chunks: DataFrame, numbers: DataFrame, state: DataFrame, classes: int, emission: Emission) -> DataFrame:
     """A row for each document: counts, base score, log emissions and its class transitions as code and count."""
-    spark = chunks.sparkSession
-    sent = spark.sparkContext.broadcast((model, emission))
-
-    def list_words(row: dict) -> Iterator[pa.RecordBatch]:
-        words = _words(row["words"])
-        at = [i for i, w in enumerate(words) if w not in sent.value[0].head]
-        yield pa.record_batch([pa.array([row["chunk"]] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array([words[i] for i in at], pa.binary())], ["chunk", "place", "word"])
-
-    known = _map(chunks, ["chunk", "words"], list_words, "chunk long, place int, word binary").join(rare, "word").select("chunk", "place", "n", "class")
+    sent = chunks.sparkSession.sparkContext.broadcast(emission)
+    known = numbers.where("chunk >= 0").select("bucket", "chunk", "n").join(state.select("bucket", "chunk", "of"), ["bucket", "chunk"])
     schema = "id string, held boolean, n_tokens long, n_known long, base_score double, emitted double, codes array<int>, times array<int>"
 
     def score(f: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
-        m, e = sent.value
-        k, out = m.classes + 2, []  # word classes, end, unknown
+        e, k, out = sent.value, classes + 2, []  # word classes, end, unknown
+        places = places.sort_values("bucket")
         for row in f.itertuples():
-            words = _words(row.words)
-            n = np.zeros(len(words) + 1, dtype=np.int64)
-            of = np.full(len(words) + 1, k - 1, dtype=np.int64)
+            order = _unpack(row.order)
+            n = np.zeros(len(order) + 1, dtype=np.int64)
+            of = np.full(len(order) + 1, k - 1, dtype=np.int64)
             n[-1], of[-1] = e.ends, k - 2
-            for i, w in enumerate(words):
-                if w in m.head:
-                    n[i], of[i] = m.head[w]
-            n[places["place"].to_numpy()] = places["n"].to_numpy()
-            of[places["place"].to_numpy()] = places["class"].to_numpy()
+            if len(order):
+                n[order] = np.concatenate([_unpack(b, np.int64) for b in places["n"]])
+                of[order] = np.where(n[order] > 0, np.concatenate([_unpack(b, np.int8) for b in places["of"]]), k - 1)
             base = np.log10((n + 0.5) / (e.total + 0.5 * (e.distinct + 1)))
             emit = np.zeros(len(n))
             seen = (n > 0) & (of < k - 2)
             emit[seen] = np.log10((n[seen] - e.discount) / e.count[of[seen]])
             tokens, lens = _unpack(row.tokens).astype(np.int64), _unpack(row.lens).astype(np.int64)
-            s = np.insert(tokens, np.cumsum(lens), len(words))
+            s = np.insert(tokens, np.cumsum(lens), len(order))
             first = np.cumsum(lens + 1) - (lens + 1)
             c = of[s]
             before = np.concatenate(([k - 2], c[:-1]))
@@ -268,7 +444,7 @@ def document_sums(chunks: DataFrame, rare: DataFrame, model: Classes, emission:
             }))
         return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 
-    return chunks.select("chunk", "words", "tokens", "lens", "ids", "train").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(score, schema)
+    return chunks.select("chunk", "order", "tokens", "lens", "ids", "train").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(score, schema)
 
 
 def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -276,7 +452,7 @@ def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def score(docs: DataFrame, train, id_col: str = "doc_id", classes: int = 16, head: int = 2048, alpha: float = 5.0) -> DataFrame:
+def score(docs: DataFrame, train, id_col: str = "doc_id", classes: int = 16, head: int = 2048, alpha: float = 5.0, rounds: int = 4) -> DataFrame:
     """``(id, n_tokens, n_known, train_tokens, base_score, score)`` for every row; the model learns from rows where ``train``.
 
     Null texts are empty: one token, the end. A null id is scored and teaches nothing. Repeated rows count as
@@ -285,14 +461,19 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", classes: int = 16, hea
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType
     chunks, chunk_path = _kept(chunks_of(docs, id_col, F.coalesce(train, F.lit(False)) & F.col(id_col).isNotNull()), "chunks")
-    counts, count_path = _kept(word_counts(chunks), "counts")
+    buckets = 16 + int(chunks.agg(F.sum("size")).first()[0] or 0) // BUCKET
+    numbers, number_path = _kept(number_words(chunks, buckets, head), "numbers")
     ends = docs.where(F.coalesce(train, F.lit(False)) & F.col(id_col).isNotNull()).count()
-    stats = counts.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
+
+    def kinds_of(row: dict) -> Iterator[pa.RecordBatch]:
+        n = _unpack(row["n"], np.int64)
+        yield pa.record_batch([pa.array([int(x)], pa.int64()) for x in (n.sum(), (n > 0).sum(), (n == 1).sum(), (n == 2).sum())], ["a", "b", "c", "d"])
+
+    stats = bucket_sums(numbers, None, kinds_of, "a long, b long, c long, d long").agg(F.sum("a"), F.sum("b"), F.sum("c"), F.sum("d")).first()
     spoken, distinct, once, twice = (x or 0 for x in stats)
     total, distinct = spoken + ends, distinct + (ends > 0)
     discount = once / (once + 2 * twice) if once and twice else 0.5
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(head).collect()]
-    remove(spark, count_path)
+    top = [(bytes(r["word"]), r["n"]) for r in numbers.select(F.inline("top")).orderBy(F.desc("n"), "word").limit(head).collect()]
     pairs = pair_counts(chunks, {w: i for i, (w, _) in enumerate(top)})
     of = exchange(pairs, classes)
     member = np.zeros((len(of), classes + 1))
@@ -302,16 +483,20 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", classes: int = 16, hea
     share = member.T @ np.array([n for _, n in top] + [ends], dtype=float) + 1e-3
     share /= share.sum()
     follow = np.log((seen + alpha * share) / (seen.sum(axis=1, keepdims=True) + alpha))
-    model = Classes({w: (n, int(c)) for (w, n), c in zip(top, of, strict=False)}, follow, np.log(share), classes)
-    rare, rare_path = _kept(rare_words(chunks, model), "rare")
+    model = Classes({w: int(c) for (w, _), c in zip(top, of, strict=False)}, follow, np.log(share), classes)
+    state, state_path = exchange_all(chunks, numbers, model, rounds)
     count, kinds = np.zeros(classes), np.zeros(classes)
-    for w, (n, c) in model.head.items():
-        count[c], kinds[c] = count[c] + n, kinds[c] + 1
-    for r in rare.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
-        count[r["class"]], kinds[r["class"]] = count[r["class"]] + r["n"], kinds[r["class"]] + r["k"]
-    sums, _ = _kept(document_sums(chunks, rare, model, Emission(count, kinds, total, distinct, ends, discount)), "sums")
-    remove(spark, chunk_path)
-    remove(spark, rare_path)
+
+    def by_class(row: dict) -> Iterator[pa.RecordBatch]:
+        n, of = _unpack(row["n"], np.int64), _unpack(row["of"], np.int8)
+        both = [np.bincount(of, weights=x, minlength=classes).astype(np.int64) for x in (n, n > 0)]
+        yield pa.record_batch([pa.array(np.arange(classes, dtype=np.int32)), *map(pa.array, both)], ["class", "n", "k"])
+
+    for r in bucket_sums(numbers, state, by_class, "class int, n long, k long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect():
+        count[r["class"]], kinds[r["class"]] = r["n"], r["k"]
+    sums, _ = _kept(document_sums(chunks, numbers, state, classes, Emission(count, kinds, total, distinct, ends, discount)), "sums")
+    for path in (chunk_path, number_path, state_path):
+        remove(spark, path)
     k = classes + 2
     seen = np.zeros(k * k)
     learnt = sums.where(~F.col("held")).select(F.explode(F.arrays_zip("codes", "times")).alias("x")).groupBy("x.codes").agg(F.sum("x.times").alias("n"))

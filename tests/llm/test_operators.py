@@ -180,6 +180,17 @@ def test_unseen_words_cost_more(spark):
     assert all(s < 0 for s in got.values()) and got[105] < max(got[100 + i] for i in range(5))
 
 
+def test_rare_words_take_part_in_exchange(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(w for _ in range(12) for w in (f"a{rng.randrange(60)}", f"b{rng.randrange(60)}"))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    run = lambda parts: {r["doc_id"]: (r["score"], r["n_tokens"]) for r in brown.score(docs.repartition(parts), F.col("doc_id") >= 0, classes=2, head=2).collect()}
+    got, other = run(1), run(5)
+    assert all(abs(got[i][0] - other[i][0]) < 1e-6 for i in got)  # however chunks are cut
+    mean = sum(s for s, _ in got.values()) / sum(n for _, n in got.values())
+    assert mean > -1.8  # 60 words may follow a word, log10 of 1 / 60 is -1.78
+
+
 # 4
 
 
