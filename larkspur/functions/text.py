@@ -91,8 +91,15 @@ def lowercase(t: Column) -> Column:
     return F.transform(t, F.lower)
 
 
-def stop(t: Column, words: Iterable[str]) -> Column:
-    return F.filter(t, lambda x: ~x.isin(*words))
+def stop(t: Column, words: Iterable[str], letters: Iterable[tuple[str, str]] = ()) -> Column:
+    """Tokens that aren't in ``words``, after the replacements of ``letters`` in what is compared."""
+
+    def folded(x: Column) -> Column:
+        for pattern, by in letters:
+            x = F.regexp_replace(x, pattern, by)
+        return x
+
+    return F.filter(t, lambda x: ~folded(x).isin(*words))
 
 
 def stop_with_positions(t: Column, words: Iterable[str]) -> Column:
@@ -236,7 +243,7 @@ def language(lang: str) -> Callable[[Column], Column]:
         if lang in languages.ELISION:
             t = elision(t, languages.ELISION[lang])
         if lang in languages.STOP:
-            t = stop(t, languages.STOP[lang])
+            t = stop(t, languages.STOP[lang], languages.STOP_LETTERS.get(lang, ()))
         return stemmer(lang)(t) if lang in languages.STEMMERS else t
 
     return run

@@ -250,6 +250,47 @@ def test_query_string_grammar():
         parse('f:"open', [])
 
 
+FULL_LISTS = {
+    "ar": (119, "ومن كما إلي لها"),
+    "bg": (190, "аз е могат пък"),
+    "ca": (218, "abans eh meu semblants"),
+    "ckb": (62, "ی ئەوان تێ لەلایەن"),
+    "cs": (171, "u kterou tento které"),
+    "da": (94, "have anden alt sit"),
+    "de": (231, "allem diesen jeder seines"),
+    "el": (75, "τησ ωσ ποιοσ αυτεσ"),
+    "en": (174, "i them ought once"),
+    "es": (308, "sí estéis habríamos fuera"),
+    "eu": (98, "bati eurak hauek horrela"),
+    "fa": (308, "انان اورد ديگران براي"),
+    "fi": (229, "olen meidät tuona keneltä"),
+    "fr": (164, "c serions eue eûtes"),
+    "ga": (109, "aon dtí leis seisear"),
+    "gl": (160, "aínda dela iso polo"),
+    "hi": (225, "अत उस जब न"),
+    "hu": (198, "akik egyik legalább ő"),
+    "hy": (45, "էինք հետո նաև որոնք"),
+    "id": (355, "adanya demikianlah lalu tersebut"),
+    "it": (279, "allo quante sia facevi"),
+    "nl": (101, "worden eens kunnen wil"),
+    "no": (172, "ikkje både ho mykje"),
+    "pt": (203, "à aquelas hajam será"),
+    "ro": (230, "acei câte înaintea pot"),
+    "ru": (159, "меня раз кажется них"),
+    "sv": (114, "hennes mitt sådant sådana"),
+    "tr": (209, "altmış dolayısıyla kırk seksen"),
+}
+
+
+def test_whole_stop_lists(spark):
+    assert {k: len(v) for k, v in languages.STOP.items()} == {k: n for k, (n, _) in FULL_LISTS.items()}
+    chains = spark.range(1).select(*[text.ANALYZERS[k](F.lit(f"{words} qqqq")).alias(k) for k, (_, words) in FULL_LISTS.items()]).first()
+    assert {k: len(v) for k, v in chains.asDict().items()} == dict.fromkeys(FULL_LISTS, 1)
+    more = {"web": "I my we you he she them", "en": "I'm ours yourselves", "fa": "که این برای", "ckb": "كه", "el": "της από"}
+    row = spark.range(1).select(*[text.ANALYZERS[k](F.lit(v)).alias(k) for k, v in more.items()]).first()
+    assert row.asDict() == {k: [] for k in more}
+
+
 def test_geo():
     assert geo.metres("2 km") == 2000 and geo.metres(5) == 5
     south, west, north, east = geo.geohash_box("u4pruyd")
