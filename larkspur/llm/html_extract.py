@@ -1,8 +1,10 @@
 """Main text of web pages by two-pass block rules.
 
-The first pass cuts a page into blocks and decides by container, link density, length and stop-word density;
-blocks that this leaves open (short ones above all) inherit in the second pass from the nearest decided
-neighbours. A page is judged within its row; nothing is shuffled.
+The first pass cuts a page into blocks and decides by link density, length and stop-word density; blocks that
+this leaves open (short ones above all) inherit in the second pass from the nearest decided neighbours. The
+container of a block is evidence: it moves the limits of these rules and says what counts on a page without a
+block that is good by itself. Only what a reader doesn't see (the head, hidden elements) is out by its container
+alone. A page is judged within its row; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -27,13 +29,14 @@ BLOCKS = frozenset(
 )
 CONTAINERS = frozenset("article aside body details dialog div fieldset figure footer form head header html main menu nav ol section table td ul li span p".split())
 VOID = frozenset("hr p li span".split())  # not kept open unless they say that they are boilerplate
-BAD_TAGS = frozenset("aside dialog footer form head menu nav button fieldset".split())
+BAD_TAGS = frozenset("aside dialog footer form menu nav button fieldset".split())
 GOOD_TAGS = frozenset(("article", "main"))
 BAD_NAME = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|header|masthead|"
     r"comments?|commentlist|respond|reply|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|pagination|pager|widget|toolbar|skip|legal|copyright|hidden)(?:$|[\s_-])",
     re.I,
 )
+LAYOUT_NAME = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|overflow)-\S*", re.I)  # says something of the page around
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ATTRIBUTE = re.compile(r"""([a-z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 STOP_WORDS = frozenset(
@@ -50,27 +53,27 @@ WORDS = re.compile(r"[^\W\d_]+")
 @dataclass
 class Block:
     tag: str
-    label: str | None  # decided by the container: good, bad or not at all
+    label: str | None  # what the container speaks for: good, bad or nothing; or hidden
     text: str = ""
     linked: int = 0
     parts: list[str] = field(default_factory=list)
 
 
 def _container(tag: str, rest: str, in_good: bool) -> str | None:
-    """Whether an element makes what it holds good or bad."""
-    names, bad = "", tag in BAD_TAGS or (tag == "header" and not in_good)
+    """What an element says of the text in it."""
+    names, bad, unseen = "", tag in BAD_TAGS or (tag == "header" and not in_good), tag == "head"
     if rest.strip(" /"):
         for name, a, b, c in ATTRIBUTE.findall(rest):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
                 names += f" {value}"
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-                bad = True
+                unseen = True
             elif name == "role" and value.lower() in BAD_ROLE:
                 bad = True
-        if tag not in ("body", "html", "main") and BAD_NAME.search(names):
+        if tag not in ("body", "html", "main") and BAD_NAME.search(LAYOUT_NAME.sub("", names)):
             bad = True
-    return "bad" if bad else "good" if tag in GOOD_TAGS else None
+    return "hidden" if unseen else "bad" if bad else "good" if tag in GOOD_TAGS else None
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -115,12 +118,14 @@ def blocks_of(html: str) -> list[Block]:
             else:
                 held = open_[-1][1]
                 label = _container(tag, m["rest"], held == "good")
-                if tag in ("body",) and held == "bad" and open_[-1][0] == "head":
+                if tag in ("body",) and held == "hidden" and open_[-1][0] == "head":
                     del open_[1:]
                     held = None
-                if held == "bad":
-                    label = "bad"
-                if not m["rest"].endswith("/") and (tag not in VOID or (label == "bad" and held != "bad")):
+                if held == "hidden":
+                    label = "hidden"
+                elif held == "bad" and label == "good" and tag == "article":
+                    label = "open"  # an article in a form or an aside: neither speaks
+                if not m["rest"].endswith("/") and (tag not in VOID or (label in ("bad", "hidden") and held != label)):
                     if tag == "p" and open_[-1][0] == "p":
                         open_.pop()
                     open_.append((tag, label or held))
@@ -134,36 +139,52 @@ def blocks_of(html: str) -> list[Block]:
 
 
 def first_labels(blocks: list[Block], long: int = 200, short: int = 70, stop_high: float = 0.3, stop_low: float = 0.2, most_linked: float = 0.5) -> list[str]:
-    """good, bad, near or short for each block, by what it is alone."""
+    """good, bad, near or short for each block, by what it is alone; doubt for one that is good in a bad container,
+    out for one without stop words in a good one, which goes alone and says nothing of its neighbours.
+
+    In a good container half of ``stop_low``, or one stop word in a block that isn't long, is enough to be near, and
+    short blocks with links stay open; in a bad one, blocks that aren't good are bad.
+    """
     out = []
     lists = any(b.label == "good" for b in blocks)
     for b in blocks:
         chars = len(b.text)
         linked = b.linked / max(1, len(b.text.replace(" ", "")))
-        if b.label == "bad":
+        if b.label == "hidden" or linked > most_linked or ("©" in b.text and chars < long):
             out.append("bad")
-        elif linked > most_linked:
-            out.append("bad")
-        elif b.label == "good":
-            out.append("good")
-        elif "©" in b.text and chars < long:
-            out.append("bad")
-        elif lists and b.label is None and chars < short:
-            out.append("short")
         elif chars < short:
-            out.append("bad" if linked > 0.2 else "short")
+            out.append("bad" if b.label == "bad" or (linked > 0.2 and b.label != "good" and not lists) else "short")
         else:
             words = WORDS.findall(b.text.lower())
             stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            out.append(("good" if chars > long else "near") if stop >= stop_high else "near" if stop >= stop_low else "bad")
+            if b.label == "bad":
+                out.append("doubt" if stop >= stop_high and chars > long else "bad")
+            else:
+                low = stop_low if b.label != "good" else stop_low / 2 if chars > long else 1e-9
+                out.append(("good" if chars > long else "near") if stop >= stop_high else "near" if stop >= low else "out" if b.label == "good" else "bad")
     return out
 
 
+def standing(blocks: list[Block], first: list[str], most_linked: float = 0.5) -> list[str]:
+    """``first`` with good blocks on every page that has any text to keep.
+
+    Without a block that is good by itself the nearly good ones decide, or those in bad containers where they hold
+    more text; without either, what good containers hold and links don't.
+    """
+    if "good" not in first:
+        size = {x: sum(len(b.text) for b, y in zip(blocks, first, strict=True) if x == y) for x in ("near", "doubt")}
+        if size["near"] or size["doubt"]:
+            up = ("near", "doubt") if size["doubt"] > size["near"] else ("near",)
+            first = ["good" if x in up else x for x in first]
+        else:
+            plain = [b.label == "good" and b.linked <= most_linked * len(b.text.replace(" ", "")) for b in blocks]
+            first = ["good" if p else x for x, p in zip(first, plain, strict=True)]
+    return ["bad" if x == "doubt" else x for x in first]
+
+
 def labels_of(blocks: list[Block]) -> list[bool]:
     """Whether each block is main text: open blocks take the label of the nearest decided neighbours."""
-    first = first_labels(blocks)
-    if "good" not in first:  # no block is long enough to stand for itself: the nearly good ones decide
-        first = ["good" if x == "near" else x for x in first]
+    first = standing(blocks, first_labels(blocks))
     n = len(first)
     before, after, last = [(n, "bad")] * n, [(n, "bad")] * n, None
     for i in range(n):
@@ -179,11 +200,11 @@ def labels_of(blocks: list[Block]) -> list[bool]:
             after[i] = (last - i, first[last])
     out = []
     for i, x in enumerate(first):
-        if x in ("good", "bad"):
+        if x in ("good", "bad", "out"):
             out.append(x == "good")
         elif before[i][1] == after[i][1]:
             out.append(before[i][1] == "good")
-        elif x == "near" or (blocks[i].tag[:1] == "h" and after[i][1] == "good"):
+        elif x == "near" or blocks[i].label == "good" or (blocks[i].tag[:1] == "h" and after[i][1] == "good"):
             out.append(True)
         else:
             near, far = sorted((before[i], after[i]), key=lambda p: p[0])

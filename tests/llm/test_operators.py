@@ -363,6 +363,20 @@ def test_pages_without_containers():
     assert html_extract.main_text(page).split("\n\n") == ["A title", good.strip(), "Short.", good.strip()]
 
 
+def test_containers_are_evidence_only():
+    good = "This is the text of the page and it has a lot of the words that are in every text. " * 4
+    advert = "Buy phones today! Best price deals, free shipping, order online, huge discounts, limited stock."
+    text = lambda html: html_extract.main_text(html).split("\n\n")
+    two = f"<p>{good}</p><p>{good}</p>"
+    assert text(f"<article>{two}<div>{advert}</div>{two}</article>") == [good.strip()] * 4
+    card = "<article><h3><a href=1>Another page of this site</a></h3><p>It is the first of the lines that stand on the other page of this site.</p></article>"
+    assert text(f"<article>{two}</article>{card}{card}{card}") == [good.strip()] * 2
+    for before, after in (("<form>", "</form>"), ("<div class=overflow-hidden>", "</div>"), ("<div class='page has-sidebar'>", "</div>"), ("<div class=widget>", "</div>")):
+        assert text(f"<nav><a href=1>Home</a></nav>{before}<article>{two}</article>{after}<footer>us</footer>") == [good.strip()] * 2
+        assert text(f"<nav><a href=1>Home</a></nav>{before}{two}{after}<footer>us</footer>") == [good.strip()] * 2
+    assert text(f"<article>{two}</article><div id=comments><p>{good}</p></div><p hidden>{good}</p>") == [good.strip()] * 2
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", "<article>é</article>", "t")] * 2 + [(2, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, html_extract.extract(df).collect())) == [(1, "u", "é", 1), (1, "u", "é", 1), (2, None, "", 0)]
