@@ -379,12 +379,12 @@ add("i_dynamic_mapping", _dynamic, "SELECT * FROM (VALUES ('_id', 'keyword'), ('
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     root = _shared(spark)
-    rows = events(spark, d).where("event_type = 'error'").select("_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("@timestamp"), "event_type", "value")
+    rows = events(spark, d).select("_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("@timestamp"), "event_type", "value")
     rows.repartition(3).write.json(f"{root}/in")
     engine = Engine(spark, f"{root}/index")
-    engine.create_index("errors", {"mappings": {"properties": {"event_type": {"type": "keyword"}, "value": {"type": "double"}}}})
-    engine.ingest_stream("errors", f"{root}/in", f"{root}/checkpoint").awaitTermination()
-    return engine.query("errors", {"query": {"range": {"value": {"gte": 10}}}}).matching().select("_id", "event_type", "value")
+    engine.create_index("events", {"mappings": {"properties": {"event_type": {"type": "keyword"}, "value": {"type": "double"}}}})
+    engine.ingest_stream("events", f"{root}/in", f"{root}/checkpoint").awaitTermination()
+    return engine.query("events", {"query": {"bool": {"filter": [{"term": {"event_type": "error"}}, {"range": {"value": {"gte": 10}}}]}}}).matching().select("_id", "event_type", "value")
 
 
 add("i_stream_availablenow", _stream, "SELECT CAST(event_id AS VARCHAR) AS _id, event_type, value FROM events WHERE event_type = 'error' AND value >= 10")

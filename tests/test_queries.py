@@ -43,3 +43,13 @@ def test_query(spark, duck, name):
     columns = [c[0] for c in found.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows(df.columns, got) == rows(columns, found.fetchall())
+
+
+def test_the_stream_gets_all_events(spark, monkeypatch):
+    from larkspur.engine import Engine
+
+    fed = []
+    ingest = Engine.ingest_stream
+    monkeypatch.setattr(Engine, "ingest_stream", lambda self, name, path, *more: fed.append(spark.read.json(path).count()) or ingest(self, name, path, *more))
+    QUERIES["i_stream_availablenow"](spark, DIR).count()
+    assert fed == [spark.read.parquet(f"{DIR}/events.parquet").count()]
