@@ -133,7 +133,10 @@ def _unit(vectors) -> np.ndarray:
 
 
 def _best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of ``v`` for each row of ``q``. Equal vectors are compared once."""
+    """The k nearest rows of ``v`` for each row of ``q``; ties go to the smaller id. Equal vectors are compared once.
+
+    Cosines are settled in steps of 1e-12 for the order, so that scaled copies of one direction tie.
+    """
     order = np.lexsort((v_id,))
     v_id, v = v_id[order], v[order]
     kinds, of = np.unique(v, axis=0, return_inverse=True)
@@ -142,16 +145,16 @@ def _best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: i
     start = np.searchsorted(of[grouped], np.arange(len(kinds) + 1))
     scale_q, scale_k = np.linalg.norm(q, axis=1), np.linalg.norm(kinds, axis=1)
     s = (q / scale_q[:, None]) @ (kinds / scale_k[:, None]).T
-    some = min(k + 4, len(kinds))
+    some = min(k + 1, len(kinds))  # one more, as a row's own id takes no part
     rows = []
     for i in range(len(q)):
-        at = np.argpartition(-s[i], some - 1)[:some]
+        at = np.flatnonzero(s[i] >= np.partition(s[i], -some)[-some] - 1e-9)  # all that may tie with the last
         exact = np.einsum("ij,j->i", kinds[at], q[i]) / (scale_k[at] * scale_q[i])
         found = []
         for j, x in zip(at, exact, strict=True):
             ids = v_id[grouped[start[j] : min(start[j + 1], start[j] + k + 1)]]
-            found += [(-x, int(y)) for y in ids if y != q_id[i]]
-        rows += [(int(q_id[i]), y, -x) for x, y in sorted(found)[:k]]
+            found += [(-round(float(x), 12), int(y), x) for y in ids if y != q_id[i]]
+        rows += [(int(q_id[i]), y, x) for _, y, x in sorted(found)[:k]]
     return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
 
@@ -219,7 +222,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, part_rows: int =
         return pd.concat(out)
 
     found = asked.unionByName(there).groupBy("part", "block").applyInPandas(compare, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -134,6 +134,17 @@ def test_nearest_neighbours(spark):
     assert first == [0, 3001, 3002, 3003, 3004]
 
 
+def test_ties_of_many_vectors_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(2)
+    one = rng.normal(size=8)
+    scaled = [(int(i), (one * (1 + 0.37 * int(k))).tolist()) for k, i in enumerate(rng.permutation(40))]
+    hot = [(100 + i, [float(i % 30 == j) for j in range(30)]) for i in range(30)]
+    for rows, asked, best in ((scaled, 7, [0, 1, 2, 3, 4]), (hot, 129, [100, 101, 102, 103, 104])):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = ann.search(df, df.where(F.col("vec_id") == asked)).orderBy("rank").collect()
+        assert [r["vec_id"] for r in got] == best
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 1.0]), (50, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert sorted((r["query_id"], r["vec_id"]) for r in ann.digest(df).collect()) == [(0, 50), (0, 50), (50, 0)]
