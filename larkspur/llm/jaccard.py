@@ -1,13 +1,15 @@
 """Exact n-gram Jaccard join with multiple global orders.
 
 Two sets with similarity t or more share a token among the first n - ceil(t n) + 1 of each set, whatever
-order all tokens are put into. Candidates must do so under three orders. All three put shingles with a rare
-word first (counted over all documents in a table of fixed size) and break ties by different hashes, so what
-many documents share stays out of the prefixes.
-
-Equal sets are one class from the start. Within a prefix token's documents no pairs are listed: each is
-compared with two pivots, which joins groups of near copies in one step; only documents that are then still
-in different components meet each other. Pairs are verified on the texts.
+order all tokens are put into. Candidates must do so under three orders: by the rarest word of a shingle, by
+the rarity of all its words, and by a plain hash. Word counts come from all documents, in a table of fixed size.
+
+Equal sets are one class from the start. A shingle that no other candidate holds can't be shared, so the number of
+the others bounds every overlap of a set: (100 + p) min(s, s') >= p (n + n') must hold for a link. Within a prefix
+token's documents no pairs are listed: each is compared with the most central member, the one with the least share of
+shingles of its own, which joins a group of near copies in one step. Only members that the bound lets link with
+another component stay; they meet a few random pivots, then more of them, until none is left or each was a pivot.
+Pairs are verified on the texts.
 """
 
 from __future__ import annotations
@@ -17,16 +19,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.components import connected_components
 from larkspur.llm.line_rules import SPACES
-from larkspur.llm.storage import stage
+from larkspur.llm.names import col, fresh, quoted
+from larkspur.llm.storage import kept, remove, stage
 
 COUNTERS = 1 << 18
 BUCKETS = 1 << 20
+PART = 2_000_000
 M64 = np.uint64
 MIX = [M64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -53,54 +57,77 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def signatures_of(texts: list[str], rarity: np.ndarray, width: int, percent: int) -> Iterator[tuple[int, bytes | None, np.ndarray, np.ndarray, np.ndarray]]:
-    """Set size, digest of the set and prefixes under the three orders, for each text."""
+def hashed_sets(texts: list[str], width: int, rarity: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The shingle set of each text as ascending hashes, with the least and the summed rarity of each shingle's words."""
     lists = [t.encode("utf-8", "replace").lower().split() for t in texts]
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for ws in lists for w in ws), dtype=np.int64, count=sum(map(len, lists)))
     hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in number), dtype=np.uint64, count=len(number))
-    rare = rarity[(hashes % M64(COUNTERS)).astype(np.int64)] if len(hashes) else np.zeros(0, dtype=np.uint8)
-    at, none = 0, np.zeros(0, dtype=np.int64)
+    rare = np.zeros(len(hashes), dtype=np.uint64) if rarity is None else rarity[(hashes % M64(COUNTERS)).astype(np.int64)].astype(np.uint64)
+    at, none = 0, np.zeros(0, dtype=np.uint64)
     for ws in lists:
         own = ids[at : at + len(ws)]
         at += len(ws)
         if not len(own):
-            yield 0, None, none, none, none
+            yield none, none, none
             continue
         size = min(width, len(own))
+        places = len(own) - size + 1
         h, r = hashes[own], rare[own]
-        s, least = np.full(len(own) - size + 1, size, dtype=np.uint64), r[: len(own) - size + 1]
+        s, least, total = np.full(places, size, dtype=np.uint64), r[:places], np.zeros(places, dtype=np.uint64)
         for k in range(size):
-            part = slice(k, len(own) - size + 1 + k)
+            part = slice(k, places + k)
             s = _mixed(s * MIX[5] + h[part], k % 5)
-            least = np.minimum(least, r[part])
-        s, first = np.unique(s, return_index=True)
-        least, n = least[first].astype(np.uint64), len(s)
-        p = prefix_length(n, percent)
-        prefixes = []
-        for k in range(3):
-            key = (least << M64(56)) | (_mixed(s, 5 + k) >> M64(8))
+            if rarity is not None:
+                least = np.minimum(least, r[part])
+                total = total + r[part]
+        if rarity is None:
+            yield np.unique(s), none, none
+        else:
+            s, first = np.unique(s, return_index=True)
+            yield s, least[first], total[first]
+
+
+def signatures_of(texts: list[str], rarity: np.ndarray, width: int, percent: int) -> Iterator[tuple[int, bytes | None, np.ndarray, np.ndarray, np.ndarray]]:
+    """Set size, digest of the set and prefixes under the three orders, for each text."""
+    none = np.zeros(0, dtype=np.int64)
+    for s, least, total in hashed_sets(texts, width, rarity):
+        n = len(s)
+        if not n:
+            yield 0, None, none, none, none
+            continue
+        p, prefixes = prefix_length(n, percent), []
+        for key in ((least << M64(56)) | (_mixed(s, 5) >> M64(8)), (total << M64(48)) | (_mixed(s, 6) >> M64(16)), _mixed(s, 7)):
             prefixes.append(s[np.argpartition(key, p - 1)[:p]] if p < n else s)
         one, two, three = prefixes
         yield n, xxhash.xxh128_digest(s.tobytes()), one.view(np.int64), (two & M64(0x7FFFFFFF)).astype(np.int64), (three & M64(0x7FFFFFFF)).astype(np.int64)
 
 
+def _parts(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A frame's rows in stretches of about ``PART`` characters of ``text``."""
+    part = (f["text"].str.len().cumsum() // PART).to_numpy()
+    for k in np.unique(part):
+        yield f[part == k]
+
+
+def _hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def signatures(docs: DataFrame, id_col: str, width: int, percent: int) -> DataFrame:
-    """``(id, n, digest, p1, p2, p3)`` of every row; null texts count as empty and have no digest."""
-    texts = docs.select(id_col, F.coalesce("text", F.lit("")).alias("text"))
+    """``(id, h, n, digest, p1, p2, p3)`` of every row, ``h`` a hash of its text; null texts count as empty and have no digest."""
+    texts = docs.select(col(id_col).alias("id"), _hash(F.col("text")).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     rarity = np.minimum(np.log2(word_counts(texts) + 1) * 2, 120).astype(np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            part = (f["text"].str.len().cumsum() // 2_000_000).to_numpy()
-            for k in np.unique(part):
-                g = f[part == k]
+            for g in _parts(f):
                 n, digest, one, two, three = zip(*signatures_of(list(g["text"]), sent.value, width, percent), strict=True)
-                yield pd.DataFrame({id_col: g[id_col].to_numpy(), "n": n, "digest": digest, "p1": one, "p2": two, "p3": three})
+                yield pd.DataFrame({"id": g["id"].to_numpy(), "h": g["h"].to_numpy(), "n": n, "digest": digest, "p1": one, "p2": two, "p3": three})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts.mapInPandas(run, f"{id_col} {kind}, n long, digest binary, p1 array<long>, p2 array<int>, p3 array<int>")
+    return texts.mapInPandas(run, f"id {kind}, h long, n long, digest binary, p1 array<long>, p2 array<int>, p3 array<int>")
 
 
 def _similar(a: set, b: set, percent: int) -> bool:
@@ -124,14 +151,34 @@ def only(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(used), bucket(key) == F.col("_bucket"), "left_semi").join(ids.withColumnRenamed("id", key), key, "left_semi")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, width: int, percent: int) -> DataFrame:
+def texts_of(docs: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
+    """``(k, text)`` for ``wanted`` rows (k, id, h): one text for each ``k``."""
+    rows = docs.select(col(id_col).alias("id"), _hash(F.col("text")).alias("h"), "text")
+    rows = only(rows, "id", wanted.select("id").distinct())
+    return rows.join(wanted, ["id", "h"]).select("k", "text").dropDuplicates(["k"])
+
+
+def own_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """``(k, u)``: how many shingles of each text no other one holds; rows without any are left out."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for g in _parts(f):
+                yield pd.DataFrame({"k": g["k"].to_numpy(), "s": [s.view(np.int64) for s, _, _ in hashed_sets(list(g["text"]), width)]})
+
+    held = texts.mapInPandas(run, "k long, s array<long>").select("k", F.explode("s").alias("s"))
+    alone = held.groupBy("s").agg(F.count("*").alias("times"), F.min("k").alias("k")).where("times = 1")
+    return alone.groupBy("k").agg(F.count("*").alias("u"))
+
+
+def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are similar. The second and third orders come first, then the texts."""
-    ends = lambda p: stage(p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct(), "ends")
-    short = stage(only(reps.select("id", "p2", "p3"), "id", ends(pairs)), "prefixes")
+    ends = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
+    short, short_path = kept(only(reps.select("k", "p2", "p3"), "k", ends(pairs)), "prefixes")
     near = pairs.join(short.toDF("a", "a2", "a3"), "a").join(short.toDF("b", "b2", "b3"), "b")
-    near = stage(near.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b"), "candidates")
-    texts = stage(only(docs.select(id_col, "text"), id_col, ends(near)).dropDuplicates([id_col]), "texts")
-    both = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    near, near_path = kept(near.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b"), "candidates")
+    some = only(texts, "k", ends(near))
+    both = near.join(some.toDF("b", "tb"), "b").join(some.toDF("a", "ta"), "a")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
@@ -145,60 +192,122 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, wi
                 keep.append(_similar(known[a], shingle_set(tb, width), percent))
             yield f.loc[keep, ["a", "b"]]
 
-    return stage(both.select("a", "b", "ta", "tb").mapInPandas(run, T.StructType([pairs.schema["a"], pairs.schema["b"]])), "links")
+    links = stage(both.select("a", "b", "ta", "tb").mapInPandas(run, T.StructType([pairs.schema["a"], pairs.schema["b"]])), "links")
+    remove(pairs.sparkSession, short_path)
+    remove(pairs.sparkSession, near_path)
+    return links
+
 
+def shared_tokens(tokens: DataFrame) -> DataFrame:
+    """Rows of ``tokens`` whose token another row has too."""
+    often = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    return tokens.join(often, "token", "left_semi").select(*tokens.columns)
 
-def _close(n, m, percent: int):
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (n > 0)
+
+def open_members(placed: DataFrame, percent: int) -> DataFrame:
+    """Members (token, k, n, w, c) that the bound lets link with a member of another component of their token.
+
+    ``w`` is (100 + p) s - p n; two members may link if w >= p n' and w' >= p n. Against the largest ``w`` and the
+    least ``n`` of all other components a member is judged without meeting them one by one.
+    """
+    by = placed.groupBy("token", "c").agg(F.max("w").alias("w"), F.min("n").alias("n"))
+    top = by.groupBy("token").agg(F.max(F.struct("w", "c")).alias("hi"), F.min(F.struct("n", "c")).alias("lo"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    rest = by.join(top, "token").groupBy("token").agg(
+        F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.max(F.when(F.col("c") != F.col("hi.c"), F.col("w"))).alias("w2"), F.min(F.when(F.col("c") != F.col("lo.c"), F.col("n"))).alias("n2")
+    )
+    w = F.when(F.col("c") == F.col("hi.c"), F.col("w2")).otherwise(F.col("hi.w"))
+    n = F.when(F.col("c") == F.col("lo.c"), F.col("n2")).otherwise(F.col("lo.n"))
+    return placed.join(rest, "token").where((w >= percent * F.col("n")) & (F.col("w") >= percent * n)).select("token", "k", "n", "w", "c")
+
+
+def links_between(members: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int, pivots: int = 8) -> DataFrame:
+    """``(node, component)`` of classes ``k`` that are linked; ``members`` are (token, k, n, w)."""
+    spark = members.sparkSession
+    may = lambda n, w, m, v: (F.col(w) >= percent * F.col(m)) & (F.col(v) >= percent * F.col(n))
+    own = ((100 + percent) * F.col("n") - percent * F.col("n") - F.col("w")) / F.col("n")  # grows with the share of shingles of its own
+    central = members.groupBy("token").agg(F.min(F.struct(own.alias("own"), F.xxhash64("k").alias("draw"), "k", "n", "w")).alias("v"))
+    central = central.select("token", F.col("v.k").alias("a"), F.col("v.n").alias("an"), F.col("v.w").alias("aw"))
+    pairs = members.join(central, "token").where((F.col("k") != F.col("a")) & may("n", "w", "an", "aw")).select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b"))
+    tested = stage(pairs.distinct(), "pairs")
+    links = verified(tested, reps, texts, width, percent)
+    left, left_path = members.withColumn("c", F.col("k")), None
+    while True:
+        parts = connected_components(links, "a", "b")
+        placed = left.drop("c").join(parts.toDF("k", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
+        placed, placed_path = kept(placed.select("token", "k", "n", "w", "c"), "placed")
+        left, new_path = kept(open_members(placed, percent), "open")
+        remove(spark, placed_path)
+        if left_path:
+            remove(spark, left_path)
+        left_path = new_path
+        size = left.groupBy("token").agg(F.count("*").alias("m"))
+        most = size.agg(F.max("m")).first()[0]
+        if most is None:
+            return parts
+        drawn = left.join(size, "token").where(F.pmod(F.xxhash64("k", "token", F.lit(pivots)), F.lit(1 << 30)) * F.col("m") < F.lit(pivots * (1 << 30)))
+        drawn = drawn.select("token", F.col("k").alias("a"), F.col("n").alias("an"), F.col("w").alias("aw"), F.col("c").alias("ac"))
+        pairs = left.join(drawn, "token").where((F.col("c") != F.col("ac")) & may("n", "w", "an", "aw")).select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b"))
+        pairs = stage(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = verified(pairs, reps, texts, width, percent)
+        links, tested = links.unionByName(new), tested.unionByName(pairs)
+        if pivots >= most:  # each open member was a pivot
+            return connected_components(links, "a", "b") if not new.isEmpty() else parts
+        pivots *= 8
+
+
+def classes_of(docs: DataFrame, width: int, percent: int, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows (id, h, n, digest), and classes of equal sets: digest, and ``head``, the struct (id, h) of the
+    first row (by id, then h) of all that are linked with the class."""
+    spark = docs.sparkSession
+    sig = stage(signatures(docs, id_col, width, percent).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    named = sig.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
+    classes = named.groupBy("digest").agg(F.min(F.struct("id", "h", "row")).alias("first")).withColumn("k", F.monotonically_increasing_id())
+    classes = stage(classes, "classes")
+    reps = sig.join(classes.select(F.col("first.row").alias("row"), "k"), "row").select("k", "id", "h", "n", "p1", "p2", "p3")
+    reps, reps_path = kept(reps, "representatives")
+    common, common_path = kept(shared_tokens(reps.select("k", F.explode("p1").alias("token"))), "common")
+    wanted = common.select("k").distinct()
+    wanted, wanted_path = kept(reps.join(wanted, "k").select("k", "id", "h", "n"), "wanted")
+    texts, texts_path = kept(texts_of(docs, id_col, wanted.select("k", "id", "h")), "texts")
+    sizes = wanted.join(own_shingles(texts, width), "k", "left").select("k", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+    sizes = sizes.where(100 * F.col("s") >= percent * F.col("n")).select("k", "n", ((100 + percent) * F.col("s") - percent * F.col("n")).alias("w"))
+    members, members_path = kept(shared_tokens(common.join(stage(sizes, "sizes"), "k").select("token", "k", "n", "w")), "members")
+    parts = links_between(members, reps, texts, width, percent)
+    heads = classes.join(parts.toDF("k", "c"), "k", "left").select("digest", F.struct("first.id", "first.h").alias("first"), F.coalesce("c", "k").alias("c"))
+    linked = heads.groupBy("c").agg(F.min("first").alias("head"))
+    heads = stage(heads.join(linked, "c").select("digest", "head"), "heads")
+    for path in (reps_path, common_path, wanted_path, texts_path, members_path):
+        remove(spark, path)
+    return sig.select("id", "h", "n", "digest"), heads
 
 
 def components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id") -> DataFrame:
-    """``(id, n_shingles, component_id)`` for every row.
+    """``(id, n_shingles, component_id)`` for every row of ``docs`` (id, text and any other columns).
 
     Documents whose shingle sets have a Jaccard similarity of ``percent`` or more are linked; a component is
     named by its smallest id. Texts that are null or without words have no shingles and are their own
-    component; rows with a null id link nothing and have a null component. Rows that repeat an id must repeat
-    its text.
+    component; rows with a null id link nothing and have a null component. Repeated rows get equal results. Rows
+    that repeat an id with another text are documents of their own, each judged by its text, whose components
+    the id may name alike. Texts of any length are taken whole.
     """
-    sig = stage(signatures(docs, id_col, width, percent), "signatures")
-    classes = stage(sig.where(F.col("digest").isNotNull() & F.col(id_col).isNotNull()).groupBy("digest").agg(F.min(id_col).alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = sig.join(classes.select(F.col("rep").alias(id_col)), id_col, "left_semi").dropDuplicates([id_col])
-    reps = stage(reps.select(F.col(id_col).alias("id"), "n", "p1", "p2", "p3"), "representatives")
-    tokens = reps.select("id", "n", F.explode("p1").alias("token"))
-    shared = stage(tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "shared")
-    common = stage(tokens.join(shared, "token", "left_semi").select("token", "id", "n"), "common")
-    pivot = lambda seed: F.min(F.struct(F.xxhash64("id", F.lit(seed)), "id", "n"))
-    pivots = common.groupBy("token").agg(pivot(1).alias("v1"), pivot(2).alias("v2"))
-    members = stage(common.join(pivots, "token").select("token", "id", "n", "v1.id", "v1.n", "v2.id", "v2.n").toDF("token", "id", "n", "v1", "n1", "v2", "n2"), "members")
-    pairs = members.where(_close(F.col("n"), F.col("n1"), percent)).select("v1", "id").unionByName(members.where(_close(F.col("n"), F.col("n2"), percent)).select(F.col("v2").alias("v1"), "id"))
-    pairs = stage(pairs.where("v1 != id").distinct().toDF("a", "b"), "pairs")
-    links = verified(pairs, reps, docs, id_col, width, percent)
-    parts = connected_components(links, "a", "b")
-    # documents that share a token but no component yet
-    placed = members.select("token", "id", "n").join(parts.toDF("id", "c"), "id", "left").select("token", "id", "n", F.coalesce("c", "id").alias("c"))
-    placed = stage(placed, "placed")
-    mixed = placed.groupBy("token").agg((F.min("c") != F.max("c")).alias("mixed")).where("mixed").select("token")
-    placed = stage(placed.join(mixed, "token", "left_semi"), "mixed")
-    other = placed.select("token", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    rest = placed.select("token", F.col("id").alias("a"), "n", "c").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("c2")) & _close(F.col("n"), F.col("n2"), percent))
-    rest = rest.select("a", "b").distinct()
-    seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(stage(rest.join(seen, ["a", "b"], "left_anti"), "rest"), reps, docs, id_col, width, percent)
-    if not more.isEmpty():
-        parts = connected_components(links.unionByName(more), "a", "b")
-    of_class = classes.join(parts.toDF("rep", "c"), "rep", "left").select("digest", F.coalesce("c", "rep").alias("c"))
-    out = sig.select(id_col, F.col("n").alias("n_shingles"), "digest").join(of_class, "digest", "left")
-    return out.select(id_col, "n_shingles", F.when(F.col(id_col).isNotNull(), F.coalesce("c", id_col)).alias("component_id"))
+    sig, heads = classes_of(docs, width, percent, id_col)
+    out = sig.join(heads, "digest", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("head.id", "id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id") -> DataFrame:
-    """One document of each component, that with the smallest id; rows without id or words stay.
+    """One document of each component, that with the smallest id, with all columns of ``docs``.
 
-    Of rows that repeat an id one stays.
+    Rows without an id stay, whatever their text. Of rows that repeat an id and its text one stays; of rows that
+    repeat an id with other texts each is judged by its own text. Documents without words are like nothing and stay.
     """
-    found = stage(components(docs, width, percent, id_col), "found")
-    drop = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    kept = docs.join(drop, id_col, "left_anti").select(docs.columns)
-    if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
-        return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    sig, heads = classes_of(docs, width, percent, id_col)
+    found = stage(sig.join(heads, "digest", "left").select("id", "h", "head"), "found")
+    drop = found.where((F.col("head.id") != F.col("id")) | (F.col("head.h") != F.col("h"))).select("id", "h").distinct()
+    i, h = fresh("drop_id", docs.columns), fresh("drop_h", docs.columns)
+    same = (col(id_col) == F.col(i)) & (_hash(col("text")) == F.col(h))
+    rest = docs.join(drop.toDF(i, h), same, "left_anti").select(*map(col, docs.columns))
+    if found.where(F.col("id").isNotNull()).groupBy("id", "h").count().where("count > 1").isEmpty():
+        return rest
+    once = rest.where(col(id_col).isNotNull()).withColumn(h, _hash(col("text"))).dropDuplicates([id_col, h]).select(*map(col, docs.columns))
+    return once.unionByName(rest.where(col(id_col).isNull()))

@@ -40,17 +40,29 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write(df: DataFrame, name: str) -> str:
-    """Writes ``df`` as Parquet to a new folder and returns its path."""
-    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _release(df.sparkSession)
+    """Writes ``df`` as Parquet to a new folder and returns its path.
+
+    The written table takes the place of the shuffles behind it, so Spark deletes their files as the write ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return path
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets the context's cleaner delete the shuffle files behind a table that is now written."""
-    spark._jvm.System.gc()
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``stage`` and the path of what it wrote, for ``remove`` once nothing reads it."""
+    path = write(df, name)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -441,3 +441,31 @@ def test_jaccard_repeated_and_null_ids(spark):
     got = sorted(map(tuple, jaccard.components(df).collect()), key=str)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, None), (3, 0, 3)], key=str)
     assert sorted(jaccard.deduplicate(df).collect(), key=str) == sorted([(1, "a b c d e"), (None, "a b c d e"), (3, None)], key=str)
+
+
+def test_jaccard_rows_that_repeat_an_id_with_another_text(spark):
+    x, y = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    near = x.replace("x39", "z")
+    df = spark.createDataFrame([(1, x, 7.5, 1), (1, y, 1.5, 2), (2, x, 2.5, 3), (1, near, 3.5, 4), (5, None, 4.5, 5), (5, None, 4.5, 5)], "doc_id long, text string, h double, `a.b` int")
+    got = sorted(map(tuple, jaccard.components(df).collect()))
+    assert got == [(1, 37, 1), (1, 37, 1), (1, 37, 1), (2, 37, 1), (5, 0, 5), (5, 0, 5)]
+    kept = sorted(map(tuple, jaccard.deduplicate(df).collect()), key=str)
+    assert len(kept) == 3 and (1, y, 1.5, 2) in kept and (5, None, 4.5, 5) in kept and sum(r[1] in (x, near) for r in kept) == 1
+
+
+def test_jaccard_with_many_texts_that_share_most_and_link_little(spark):
+    """Every text differs from the shared one in a fifth; each has a partner that it links with."""
+    rng, rows = random.Random(5), []
+    base = [f"b{i}" for i in range(100)]
+    for k in range(150):
+        w = list(base)
+        for j in rng.sample(range(100), 4):
+            w[j] = f"n{k}x{j}"
+        rows.append((k, " ".join(w)))
+        if k % 2:
+            w[rng.randrange(100)] = f"m{k}"
+        rows.append((1000 + k, " ".join(w)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(df).collect()}
+    assert got == classes(rows)
