@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,12 +53,38 @@ class Engine:
         index = self._index(name)
         if not index.path:
             raise BadRequest(f"{name} has no path")
-        ingest.append(ingest.last_of_batch(ingest.build(self.spark, docs, index.mapping)), index.path)
+        ingest.append(ingest.build(self.spark, docs, index.mapping), index.path)
         return len(docs)
 
     def bulk(self, body: str, default_index: str | None = None) -> dict[str, int]:
         return {name: self.ingest(name, docs) for name, docs in ingest.parse_bulk(body, default_index).items()}
 
+    def _rewritten(self, name: str, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Replaces the files of an index by ``change`` of its rows: written beside them, then put in their place."""
+        index = self.catalog.indexes[name]
+        if not index.path:
+            raise BadRequest(f"{name} has no path")
+        rows = self.spark.read.option("mergeSchema", "true").parquet(index.path)
+        beside = f"{index.path}-{uuid.uuid4().hex}"
+        change(rows).write.partitionBy("_day").parquet(beside)
+        jvm = self.spark._jvm
+        at, new = jvm.org.apache.hadoop.fs.Path(index.path), jvm.org.apache.hadoop.fs.Path(beside)
+        files = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(at, True)
+        files.rename(new, at)
+
+    def update(self, name: str, docs: list[dict]) -> int:
+        """Documents replace those of the same ``_id``; others are added."""
+        index = self._index(name)
+        new = ingest.build(self.spark, docs, index.mapping)
+        self._rewritten(name, lambda rows: ingest.upsert(rows, new))
+        return len(docs)
+
+    def delete(self, name: str, ids: list[str]) -> None:
+        """Documents of these ids go."""
+        gone = self.spark.createDataFrame([(str(i),) for i in ids], "_id string")
+        self._rewritten(name, lambda rows: ingest.delete_ids(rows, gone))
+
     def ingest_stream(self, name: str, path: str, checkpoint: str, dead: str | None = None, every: str | None = None) -> StreamingQuery:
         index = self._index(name)
         return stream_ingest.start(stream_ingest.read_json(self.spark, path, index.mapping), index.mapping, index.path, checkpoint, dead, every)
@@ -78,7 +106,7 @@ class Engine:
     def query(self, expression: str, body: dict | None = None, **options) -> Search:
         df, mapping = self.frame(expression, options.pop("hours", None))
         most = options.pop("doc_num_limit", None)
-        if most is not None and df.count() > most:
+        if most is not None and df.limit(int(most) + 1).count() > most:
             raise BadRequest(f"more than {most} documents")
         return Search(df, mapping, body or {}, **options)
 

@@ -19,10 +19,16 @@ from larkspur.functions import dates
 from larkspur.plans.mapping import Mapping
 from larkspur.plans.query import Compiler
 
+MARK = "\u0001"
 METRICS = ("count", "value_count", "sum", "min", "max", "avg", "weighted_avg", "cardinality", "percentiles", "quantiles")
 BUCKETS = ("terms", "histogram", "date_histogram", "range", "date_range", "filter")
 
 
+def q(name: str) -> Column:
+    """A column by its plain name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 @dataclass
 class Node:
     """One node of the tree; ``rows`` has a column for each ancestor bucket, its own key, ``doc_count`` and its metrics."""
@@ -52,6 +58,7 @@ class Aggregator:
 
     def __init__(self, df: DataFrame, mapping: Mapping, exact: bool = False, key_mode: str = "instant"):
         self.df, self.mapping, self.exact, self.key_mode = df, mapping, exact, key_mode
+        self.numbered: set[str] = set()  # key columns of ranges that share a name: its place stands before it
 
     def _field(self, df: DataFrame, name: str, families: tuple[str, ...]) -> None:
         p = self.mapping.properties.get(name)
@@ -163,7 +170,7 @@ class Aggregator:
     def _ranges(self, c: Column, kind: str, spec: dict) -> Column:
         """Keys of all ranges [from, to) that hold a value, as an array; nulls fall into none."""
         hits = []
-        for key, low, high in self.range_keys(kind, spec):
+        for key, (_, low, high) in zip(self.range_names(kind, spec), self.range_keys(kind, spec), strict=True):
             read = F.lit if kind == "range" else self._time
             test = c.isNotNull()
             if low is not None:
@@ -183,20 +190,31 @@ class Aggregator:
             raise BadRequest(f"{kind}: no ranges")
         return out
 
+    def range_names(self, kind: str, spec: dict) -> list[str]:
+        """Keys of all ranges, with their places where two have one name."""
+        names = [k for k, _, _ in self.range_keys(kind, spec)]
+        return names if len(set(names)) == len(names) else [f"{i}{MARK}{k}" for i, k in enumerate(names)]
+
+    def _named(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with range keys as they are shown."""
+        numbered = [c for c in rows.columns if c in self.numbered]
+        return rows.withColumns({c: F.regexp_replace(q(c), f"^[0-9]+{MARK}", "") for c in numbered}) if numbered else rows
+
     def _fill(self, counted: DataFrame, parents: list[str], key: str, kind: str, spec: dict, metrics: list[str]) -> DataFrame:
         """Adds the empty buckets: those between a parent's first and last (widened by extended bounds), or all ranges."""
         spark = counted.sparkSession
         if kind in ("range", "date_range"):
-            names = spark.createDataFrame([(k,) for k, _, _ in self.range_keys(kind, spec)], f"`{key}` string")
+            all_names = self.range_names(kind, spec)
+            names = spark.createDataFrame([(k,) for k in all_names], T.StructType([T.StructField(key, T.StringType())]))
             if parents:
-                grid = counted.select(*parents).distinct().withColumn(key, F.explode(F.array(*[F.lit(k) for k, _, _ in self.range_keys(kind, spec)])))
+                grid = counted.select(*map(q, parents)).distinct().withColumn(key, F.explode(F.array(*[F.lit(k) for k in all_names])))
             else:
                 grid = names
         else:
             wide = spec.get("extended_bounds") or {}
             if kind == "histogram":
                 step, offset = float(spec["interval"]), float(spec.get("offset") or 0)
-                place = F.round((F.col(key) - offset) / step).cast("long")
+                place = F.round((q(key) - offset) / step).cast("long")
                 edge = lambda v: F.floor((F.lit(float(v)) - offset) / step).cast("long")
                 back = lambda i: i * step + offset
                 low, high = F.min(place), F.max(place)
@@ -204,21 +222,21 @@ class Aggregator:
                     low = F.least(low, edge(wide["min"]))
                 if "max" in wide:
                     high = F.greatest(high, edge(wide["max"]))
-                grid = counted.groupBy(*parents).agg(low.alias("_low"), high.alias("_high")).where("_low is not null").select(*parents, F.explode(F.transform(F.sequence("_low", "_high"), back)).alias(key))
+                grid = counted.groupBy(*map(q, parents)).agg(low.alias("_low"), high.alias("_high")).where("_low is not null").select(*map(q, parents), F.explode(F.transform(F.sequence("_low", "_high"), back)).alias(key))
             else:
                 unit, micros = self._interval(spec)
                 tz = dates.zone(spec.get("time_zone"))
                 local = (lambda c: c) if tz == "UTC" or self.key_mode == "wall" else (lambda c: F.from_utc_timestamp(c, tz))
                 world = (lambda c: c) if tz == "UTC" or self.key_mode == "wall" else (lambda c: F.to_utc_timestamp(c, tz))
-                low, high = F.min(local(F.col(key))), F.max(local(F.col(key)))
+                low, high = F.min(local(q(key))), F.max(local(q(key)))
                 if "min" in wide:
                     low = F.least(low, local(self._start(self._time(wide["min"]), spec)))
                 if "max" in wide:
                     high = F.greatest(high, local(self._start(self._time(wide["max"]), spec)))
                 step = F.expr({"quarter": "interval 3 month"}.get(unit, f"interval 1 {unit}") if unit else f"make_dt_interval(0, 0, 0, {micros / 1e6:.6f})")
-                grid = counted.groupBy(*parents).agg(low.alias("_low"), high.alias("_high")).where("_low is not null").select(*parents, F.explode(F.transform(F.sequence("_low", "_high", step), world)).alias(key))
+                grid = counted.groupBy(*map(q, parents)).agg(low.alias("_low"), high.alias("_high")).where("_low is not null").select(*map(q, parents), F.explode(F.transform(F.sequence("_low", "_high", step), world)).alias(key))
         full = grid.join(counted, [*parents, key], "left")
-        return full.select(*parents, key, F.coalesce("doc_count", F.lit(0).cast("long")).alias("doc_count"), *metrics)
+        return full.select(*map(q, [*parents, key]), F.coalesce("doc_count", F.lit(0).cast("long")).alias("doc_count"), *map(q, metrics))
 
     # trees
 
@@ -237,15 +255,17 @@ class Aggregator:
             while key in df.columns or key in parents:
                 key = f"_{key}"
             inner = self.bucket(df, kind, spec, key)
+            if kind in ("range", "date_range") and self.range_names(kind, spec)[0] != self.range_keys(kind, spec)[0][0]:
+                self.numbered.add(key)
             below = children_of(body)
             metrics = {n: kind_of(x) for n, x in below.items() if kind_of(x)[0] in METRICS}
-            counted = inner.groupBy(*parents, key).agg(F.count(F.lit(1)).alias("doc_count"), *[self.metric(inner, k, s).alias(n) for n, (k, s) in metrics.items()])
+            counted = inner.groupBy(*map(q, [*parents, key])).agg(F.count(F.lit(1)).alias("doc_count"), *[self.metric(inner, k, s).alias(n) for n, (k, s) in metrics.items()])
             counted = self._keep(counted, parents, key, kind, spec, list(metrics))
             nested = {n: x for n, x in below.items() if kind_of(x)[0] in BUCKETS}
-            node = Node(name, kind, counted, [*parents, key], metrics, [], spec)
+            node = Node(name, kind, self._named(counted), [*parents, key], metrics, [], spec)
             if nested:
                 if kind == "terms":
-                    inner = inner.join(counted.select(*parents, key), [*parents, key], "left_semi")
+                    inner = inner.join(counted.select(*map(q, [*parents, key])), [*parents, key], "left_semi")
                 node.children = self.run(nested, inner, [*parents, key])
             out.append(node)
         return out
@@ -255,10 +275,10 @@ class Aggregator:
             size = int(spec.get("size") or 10)
             least = int(spec.get("min_doc_count") or 1)
             counted = counted.where(F.col("doc_count") >= least) if least > 1 else counted
-            order = [F.desc("doc_count"), F.asc(key)]
+            order = [F.desc("doc_count"), q(key).asc()]
             if not parents:
                 return counted.orderBy(*order).limit(size)
-            rank = F.row_number().over(Window.partitionBy(*parents).orderBy(*order))
+            rank = F.row_number().over(Window.partitionBy(*map(q, parents)).orderBy(*order))
             return counted.withColumn("_rank", rank).where(F.col("_rank") <= size).drop("_rank")
         if kind in ("histogram", "date_histogram"):
             least = int(spec.get("min_doc_count") or 0)

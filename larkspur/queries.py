@@ -240,6 +240,12 @@ add("b_range", tree(events, {"b": {"range": {"field": "value", "ranges": [{"to":
 SELECT k AS b, count(event_id) AS doc_count FROM (VALUES ('[*,10.0)', -1e18, 10), ('[10.0,100.0)', 10, 100), ('[100.0,*)', 100, 1e18), ('[10000.0,*)', 10000, 1e18)) r(k, a, z) LEFT JOIN events ON value >= a AND value < z GROUP BY 1""")
 add("b_range_overlap", tree(events, {"b": {"range": {"field": "value", "ranges": [{"key": "low", "from": 0, "to": 50}, {"key": "mid", "from": 25, "to": 75}]}, "aggs": {"s": {"sum": {"field": "value"}}}}}, "b"), """
 SELECT k AS b, count(*) AS doc_count, round(sum(value), 3) AS s FROM (VALUES ('low', 0, 50), ('mid', 25, 75)) r(k, a, z) JOIN events ON value >= a AND value < z GROUP BY 1""")
+add("b_range_same_key", tree(events, {"b": {"range": {"field": "value", "ranges": [{"key": "x", "to": 20}, {"key": "x", "to": 20}, {"key": "x", "from": 50}]}, "aggs": {"s": {"max": {"field": "value"}}}}}, "b"), """
+SELECT 'x' AS b, count(*) AS doc_count, round(max(value), 3) AS s FROM (VALUES (0, -1e18, 20), (1, -1e18, 20), (2, 50, 1e18)) r(i, a, z) JOIN events ON value >= a AND value < z GROUP BY i""")
+add("n_dotted_names", tree(events, {"my.type": {"terms": {"field": "event_type"}, "aggs": {"per.day": {"date_histogram": {"field": "@timestamp", "calendar_interval": "day"}, "aggs": {"a.b": {"max": {"field": "value"}}}}}}}, "my.type", "per.day"), """
+WITH c AS (SELECT event_type AS t, date_trunc('day', ts) AS d, count(*) AS n, round(max(value), 3) AS m FROM events GROUP BY 1, 2),
+g AS (SELECT t, unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS d FROM c GROUP BY 1)
+SELECT g.t AS "my.type", epoch_ms(g.d) AS "per.day", CAST(coalesce(n, 0) AS BIGINT) AS doc_count, m AS "a.b" FROM g LEFT JOIN c ON c.t = g.t AND c.d = g.d""")
 add("b_date_range", tree(events, {"b": {"date_range": {"field": "@timestamp", "ranges": [{"key": "first", "to": "2024-01-08"}, {"key": "then", "from": "2024-01-08", "to": "2024-01-20T06:00:00Z"}]}}}, "b"), """
 SELECT CASE WHEN ts < TIMESTAMP '2024-01-08' THEN 'first' ELSE 'then' END AS b, count(*) AS doc_count FROM events WHERE ts < TIMESTAMP '2024-01-20 06:00:00' GROUP BY 1""")
 add("b_filter", tree(events, {"b": {"filter": {"bool": {"must": [{"term": {"event_type": "click"}}], "must_not": [{"range": {"value": {"lte": 20}}}]}}, "aggs": {"m": {"max": {"field": "value"}}}}}, "b"),
@@ -364,6 +370,16 @@ def _bulk(spark: SparkSession, d: str) -> DataFrame:
     return df.select("_index", "_id", "message", F.col("size").cast("long").alias("size"))
 
 
+def _last_wins(spark: SparkSession, d: str) -> DataFrame:
+    """Nine documents of one id in a batch, then an update and a deletion by id."""
+    engine = Engine(spark, _shared(spark))
+    engine.ingest("log", [{"_id": "a", "v": i, "@timestamp": "2024-01-01T00:00:00Z"} for i in range(9)] + [{"_id": x, "v": 0, "@timestamp": "2024-01-02T00:00:00Z"} for x in "bcd"])
+    engine.update("log", [{"_id": "b", "v": 5, "@timestamp": "2024-01-03T00:00:00Z"}, {"_id": "b", "v": 6, "@timestamp": "2024-01-03T00:00:00Z"}, {"_id": "e", "v": 7, "@timestamp": "2024-01-03T00:00:00Z"}])
+    engine.delete("log", ["c"])
+    return engine.frame("log")[0].select("_id", F.col("v").cast("long").alias("v"))
+
+
+add("i_last_wins", _last_wins, "SELECT * FROM (VALUES ('a', 8), ('b', 6), ('d', 0), ('e', 7)) t(_id, v)")
 add("i_bulk", _bulk, """SELECT * FROM (VALUES ('log-0', '0', 'Line 0 of the log', 0), ('log-0', '2', 'Line 2 of the log', 20), ('log-0', '4', 'Line 4 of the log', 40),
 ('log-1', '1', 'Line 1 of the log', 10), ('log-1', '3', 'Line 3 of the log', 30), ('log-1', '0', 'Line 5 of the log', 50)) t("_index", "_id", message, size)""")
 

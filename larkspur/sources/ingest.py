@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,7 +49,7 @@ def parse_bulk(body: str | Iterable[str], default_index: str | None = None) -> d
 def build(spark: SparkSession, docs: list[dict], mapping: Mapping, now: datetime | None = None) -> DataFrame:
     """Rows of checked documents: mapped fields, ``_id``, ``@timestamp`` and ``_source``. New fields join the mapping.
 
-    The whole batch is refused where one document is.
+    The whole batch is refused where one document is. Of documents with one ``_id`` the last of the batch stays.
     """
     now = now or datetime.now(UTC)
     filled = [{**d, "_id": str(d.get("_id") or uuid.uuid4().hex), "@timestamp": d.get("@timestamp", now.isoformat())} for d in docs]
@@ -58,6 +58,7 @@ def build(spark: SparkSession, docs: list[dict], mapping: Mapping, now: datetime
         scope = Mapping({**mapping.properties, **added}, mapping.dynamic, mapping.templates)
         added |= check_document(scope, d)
     mapping.properties.update(added)
+    filled = list({d["_id"]: d for d in filled}.values())
     names = list(mapping.properties)
     many = {n for d in filled for n, v in d.items() if isinstance(v, list)}
 
@@ -107,11 +108,11 @@ def p_type(name: str) -> T.DataType:
 
 
 def last_of_batch(df: DataFrame, order: str | None = None) -> DataFrame:
-    """One row for each ``_id`` of a batch: the last by ``order``."""
-    if order is None:
-        return df.dropDuplicates(["_id"])
-    rank = F.row_number().over(Window.partitionBy("_id").orderBy(F.desc(order)))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """One row for each ``_id`` of a batch: the last by ``order``, without it the last as rows are read."""
+    at = F.monotonically_increasing_id() if order is None else F.col(f"`{order}`")
+    rows = df.select("_id", F.struct(*[f"`{c}`" for c in df.columns]).alias("_row"), at.alias("_at"))
+    last = rows.groupBy("_id").agg(F.max_by("_row", "_at").alias("_row"))
+    return last.select(*[F.col("_row").getField(c).alias(c) for c in df.columns])
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -130,6 +131,6 @@ def delete_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids.select("_id"), "_id", "left_anti")
 
 
-def upsert(df: DataFrame, new: DataFrame) -> DataFrame:
-    """``new`` replaces rows of the same ``_id``."""
-    return delete_ids(df, new).unionByName(last_of_batch(new), allowMissingColumns=True)
+def upsert(df: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """``new`` replaces rows of the same ``_id``; of rows of ``new`` with one ``_id`` the last by ``order`` does."""
+    return delete_ids(df, new).unionByName(last_of_batch(new, order), allowMissingColumns=True)
