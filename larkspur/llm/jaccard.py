@@ -3,13 +3,15 @@
 Two sets with similarity t or more share a token among the first n - ceil(t n) + 1 of each set, whatever
 order all tokens are put into. Candidates must do so under three orders: by the rarest word of a shingle, by
 the rarity of all its words, and by a plain hash. Word counts come from all documents, in a table of fixed size.
+The prefix of the first order is longer by a twentieth of the set, of which linked sets then share a twentieth.
 
 Equal sets are one class from the start. A shingle that no other candidate holds can't be shared, so the number of
 the others bounds every overlap of a set: (100 + p) min(s, s') >= p (n + n') must hold for a link. Within a prefix
 token's documents no pairs are listed: each is compared with the most central member, the one with the least share of
-shingles of its own, which joins a group of near copies in one step. Only members that the bound lets link with
-another component stay; they meet a few random pivots, then more of them, until none is left or each was a pivot.
-Pairs are verified on the texts.
+shingles of its own, which joins most of a group of near copies in one step. Members that the bound still lets link
+with another component fall into families that share tokens. A family is dealt into blocks of bounded size; blocks
+meet in tasks that find candidates by inverted lists under the three orders and return links that join components.
+Links are verified on the texts.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from larkspur.llm.storage import kept, remove, stage
 COUNTERS = 1 << 18
 BUCKETS = 1 << 20
 PART = 2_000_000
+BLOCK = 500_000  # shingles in a block of a family
 M64 = np.uint64
 MIX = [M64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -57,6 +60,16 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def extra(n):
+    """By how much the first prefix of a set of ``n`` is longer than it must be, plus one."""
+    return (n + 19) // 20
+
+
+def least_shared(n, percent: int):
+    """How many tokens of its longer prefix a set of ``n`` has in common with each set that it links with."""
+    return extra((percent * n + 99) // 100)
+
+
 def hashed_sets(texts: list[str], width: int, rarity: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The shingle set of each text as ascending hashes, with the least and the summed rarity of each shingle's words."""
     lists = [t.encode("utf-8", "replace").lower().split() for t in texts]
@@ -96,8 +109,9 @@ def signatures_of(texts: list[str], rarity: np.ndarray, width: int, percent: int
         if not n:
             yield 0, None, none, none, none
             continue
-        p, prefixes = prefix_length(n, percent), []
-        for key in ((least << M64(56)) | (_mixed(s, 5) >> M64(8)), (total << M64(48)) | (_mixed(s, 6) >> M64(16)), _mixed(s, 7)):
+        prefixes = []
+        for k, key in enumerate(((least << M64(56)) | (_mixed(s, 5) >> M64(8)), (total << M64(48)) | (_mixed(s, 6) >> M64(16)), _mixed(s, 7))):
+            p = prefix_length(n, percent) + (0 if k else extra(n) - 1)
             prefixes.append(s[np.argpartition(key, p - 1)[:p]] if p < n else s)
         one, two, three = prefixes
         yield n, xxhash.xxh128_digest(s.tobytes()), one.view(np.int64), (two & M64(0x7FFFFFFF)).astype(np.int64), (three & M64(0x7FFFFFFF)).astype(np.int64)
@@ -114,11 +128,14 @@ def _hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def signatures(docs: DataFrame, id_col: str, width: int, percent: int) -> DataFrame:
+def rarity_of(docs: DataFrame) -> np.ndarray:
+    """A byte for each counter, small where its words are rare."""
+    return np.minimum(np.log2(word_counts(docs) + 1) * 2, 120).astype(np.uint8)
+
+
+def signatures(docs: DataFrame, id_col: str, width: int, percent: int, sent) -> DataFrame:
     """``(id, h, n, digest, p1, p2, p3)`` of every row, ``h`` a hash of its text; null texts count as empty and have no digest."""
     texts = docs.select(col(id_col).alias("id"), _hash(F.col("text")).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    rarity = np.minimum(np.log2(word_counts(texts) + 1) * 2, 120).astype(np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -220,62 +237,123 @@ def open_members(placed: DataFrame, percent: int) -> DataFrame:
     return placed.join(rest, "token").where((w >= percent * F.col("n")) & (F.col("w") >= percent * n)).select("token", "k", "n", "w", "c")
 
 
-def links_between(members: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int, pivots: int = 8) -> DataFrame:
+def _enough(members: DataFrame, percent: int) -> DataFrame:
+    """Rows of members that share as many tokens as a link takes."""
+    need = F.floor((F.floor((percent * F.col("n") + 99) / 100) + 19) / 20)
+    some = members.groupBy("k", "n").agg(F.count("*").alias("m")).where(F.col("m") >= need).select("k")
+    return members.join(some, "k", "left_semi").select(*members.columns)
+
+
+def families(members: DataFrame) -> DataFrame:
+    """``(k, family)`` of members (token, k): those that share tokens, directly or by others, are one family."""
+    lead = members.groupBy("token").agg(F.min("k").alias("v"))
+    return connected_components(members.join(lead, "token").select(F.col("k").alias("u"), "v"))
+
+
+class _Lists:
+    """Inverted lists: which of some rows hold each token."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        held = np.concatenate(rows)
+        token, self.code = np.unique(held, return_inverse=True)
+        owner = np.repeat(np.arange(len(rows)), list(map(len, rows)))
+        order = np.argsort(self.code, kind="stable")
+        self.size, self.owner = len(rows), owner[order]
+        self.start = np.searchsorted(self.code[order], np.arange(len(token) + 1))
+        self.at = np.cumsum([0, *map(len, rows)])
+
+    def overlaps(self, row: int) -> np.ndarray:
+        """How many tokens each row shares with one of them."""
+        codes = self.code[self.at[row] : self.at[row + 1]]
+        first, many = self.start[codes], self.start[codes + 1] - self.start[codes]
+        places = np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
+        return np.bincount(self.owner[places], minlength=self.size)
+
+
+def block_links(f: pd.DataFrame, rarity: np.ndarray, width: int, percent: int) -> list[tuple[int, int]]:
+    """Links between rows (k, n, w, c, part, text) of different components ``c``, as many as it takes to join them.
+
+    Rows of the same part meet only if all rows are of one. Candidates share a token under each order and may link by ``w``.
+    """
+    texts, keys = list(f["text"]), f["k"].to_numpy()
+    prefixes = list(zip(*(x[2:] for x in signatures_of(texts, rarity, width, percent)), strict=True))
+    orders = [_Lists(list(p)) for p in prefixes]
+    whole = _Lists([x for x, _, _ in hashed_sets(texts, width)])
+    n, w, part = f["n"].to_numpy(), f["w"].to_numpy(), f["part"].to_numpy()
+    _, c = np.unique(f["c"].to_numpy(), return_inverse=True)
+    alone = len(set(part.tolist())) == 1
+    links = []
+    for a in range(len(f)):
+        may = (np.arange(len(f)) > a) & (c != c[a]) & (w >= percent * n[a]) & (w[a] >= percent * n) & (alone | (part != part[a]))
+        for order in orders:
+            if may.any():
+                may &= order.overlaps(a) > 0
+        if not may.any():
+            continue
+        both = whole.overlaps(a)
+        for b in np.flatnonzero(may & (100 * both >= percent * (n + n[a] - both))):
+            if c[a] != c[b] and _similar(shingle_set(texts[a], width), shingle_set(texts[b], width), percent):
+                links.append((int(keys[a]), int(keys[b])))
+                c[c == c[b]] = c[a]
+    return links
+
+
+def links_in_families(rows: DataFrame, texts: DataFrame, rarity, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between members (k, n, w, c, family) of different components, block against block."""
+    total = rows.groupBy("family").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("m > 1").drop("m")
+    dealt = rows.join(total, "family").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "k", "n", "w", "c")
+    with_text = dealt.join(texts, "k").select("family", "i", "j", "part", "k", "n", "w", "c", "text")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(block_links(f, rarity.value, width, percent) if f["c"].nunique() > 1 else [], columns=["a", "b"], dtype="int64")
+
+    return with_text.groupBy("family", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def links_between(members: DataFrame, reps: DataFrame, texts: DataFrame, rarity, width: int, percent: int) -> DataFrame:
     """``(node, component)`` of classes ``k`` that are linked; ``members`` are (token, k, n, w)."""
-    spark = members.sparkSession
-    may = lambda n, w, m, v: (F.col(w) >= percent * F.col(m)) & (F.col(v) >= percent * F.col(n))
-    own = ((100 + percent) * F.col("n") - percent * F.col("n") - F.col("w")) / F.col("n")  # grows with the share of shingles of its own
+    own = (100 * F.col("n") - F.col("w")) / F.col("n")  # grows with the share of shingles of its own
     central = members.groupBy("token").agg(F.min(F.struct(own.alias("own"), F.xxhash64("k").alias("draw"), "k", "n", "w")).alias("v"))
     central = central.select("token", F.col("v.k").alias("a"), F.col("v.n").alias("an"), F.col("v.w").alias("aw"))
-    pairs = members.join(central, "token").where((F.col("k") != F.col("a")) & may("n", "w", "an", "aw")).select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b"))
-    tested = stage(pairs.distinct(), "pairs")
-    links = verified(tested, reps, texts, width, percent)
-    left, left_path = members.withColumn("c", F.col("k")), None
-    while True:
-        parts = connected_components(links, "a", "b")
-        placed = left.drop("c").join(parts.toDF("k", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
-        placed, placed_path = kept(placed.select("token", "k", "n", "w", "c"), "placed")
-        left, new_path = kept(open_members(placed, percent), "open")
-        remove(spark, placed_path)
-        if left_path:
-            remove(spark, left_path)
-        left_path = new_path
-        size = left.groupBy("token").agg(F.count("*").alias("m"))
-        most = size.agg(F.max("m")).first()[0]
-        if most is None:
-            return parts
-        drawn = left.join(size, "token").where(F.pmod(F.xxhash64("k", "token", F.lit(pivots)), F.lit(1 << 30)) * F.col("m") < F.lit(pivots * (1 << 30)))
-        drawn = drawn.select("token", F.col("k").alias("a"), F.col("n").alias("an"), F.col("w").alias("aw"), F.col("c").alias("ac"))
-        pairs = left.join(drawn, "token").where((F.col("c") != F.col("ac")) & may("n", "w", "an", "aw")).select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b"))
-        pairs = stage(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = verified(pairs, reps, texts, width, percent)
-        links, tested = links.unionByName(new), tested.unionByName(pairs)
-        if pivots >= most:  # each open member was a pivot
-            return connected_components(links, "a", "b") if not new.isEmpty() else parts
-        pivots *= 8
+    may = (F.col("k") != F.col("a")) & (F.col("w") >= percent * F.col("an")) & (F.col("aw") >= percent * F.col("n"))
+    pairs = stage(members.join(central, "token").where(may).select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b")).distinct(), "pairs", narrow=True)
+    links = verified(pairs, reps, texts, width, percent)
+    parts = connected_components(links, "a", "b")
+    placed = members.join(parts.toDF("k", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
+    placed = stage(placed.select("token", "k", "n", "w", "c"), "placed", narrow=True)
+    left = stage(_enough(open_members(placed, percent), percent), "open", narrow=True)
+    rows = left.select("k", "n", "w", "c").distinct().join(families(left).toDF("k", "family"), "k")
+    new = stage(links_in_families(rows, texts, rarity, width, percent), "links")
+    return parts if new.isEmpty() else connected_components(links.unionByName(new), "a", "b")
 
 
 def classes_of(docs: DataFrame, width: int, percent: int, id_col: str) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows (id, h, n, digest), and classes of equal sets: digest, and ``head``, the struct (id, h) of the
     first row (by id, then h) of all that are linked with the class."""
     spark = docs.sparkSession
-    sig = stage(signatures(docs, id_col, width, percent).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    rarity = spark.sparkContext.broadcast(rarity_of(docs))
+    sig = stage(signatures(docs, id_col, width, percent, rarity).withColumn("row", F.monotonically_increasing_id()), "signatures")
     named = sig.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
     classes = named.groupBy("digest").agg(F.min(F.struct("id", "h", "row")).alias("first")).withColumn("k", F.monotonically_increasing_id())
     classes = stage(classes, "classes")
     reps = sig.join(classes.select(F.col("first.row").alias("row"), "k"), "row").select("k", "id", "h", "n", "p1", "p2", "p3")
     reps, reps_path = kept(reps, "representatives")
-    common, common_path = kept(shared_tokens(reps.select("k", F.explode("p1").alias("token"))), "common")
+    common, common_path = kept(shared_tokens(reps.select("k", "n", F.explode("p1").alias("token"))), "common", narrow=True)
+    common = _enough(common, percent)
     wanted = common.select("k").distinct()
-    wanted, wanted_path = kept(reps.join(wanted, "k").select("k", "id", "h", "n"), "wanted")
+    wanted, wanted_path = kept(reps.join(wanted, "k").select("k", "id", "h", "n"), "wanted", narrow=True)
     texts, texts_path = kept(texts_of(docs, id_col, wanted.select("k", "id", "h")), "texts")
-    sizes = wanted.join(own_shingles(texts, width), "k", "left").select("k", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
-    sizes = sizes.where(100 * F.col("s") >= percent * F.col("n")).select("k", "n", ((100 + percent) * F.col("s") - percent * F.col("n")).alias("w"))
-    members, members_path = kept(shared_tokens(common.join(stage(sizes, "sizes"), "k").select("token", "k", "n", "w")), "members")
-    parts = links_between(members, reps, texts, width, percent)
+    sizes = wanted.join(own_shingles(texts, width), "k", "left").select("k", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+    sizes = stage(sizes, "sizes", narrow=True)
+    members = common.join(sizes, "k").where(100 * F.col("s") >= percent * F.col("n"))
+    members = members.select("token", "k", "n", ((100 + percent) * F.col("s") - percent * F.col("n")).alias("w"))
+    members, members_path = kept(_enough(shared_tokens(members), percent), "members", narrow=True)
+    parts = links_between(members, reps, texts, rarity, width, percent)
     heads = classes.join(parts.toDF("k", "c"), "k", "left").select("digest", F.struct("first.id", "first.h").alias("first"), F.coalesce("c", "k").alias("c"))
     linked = heads.groupBy("c").agg(F.min("first").alias("head"))
-    heads = stage(heads.join(linked, "c").select("digest", "head"), "heads")
+    heads = stage(heads.join(linked, "c").select("digest", "head"), "heads", narrow=True)
     for path in (reps_path, common_path, wanted_path, texts_path, members_path):
         remove(spark, path)
     return sig.select("id", "h", "n", "digest"), heads

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,31 +43,41 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+PARALLEL_FIRST = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
 
-def write(df: DataFrame, name: str) -> str:
+@contextmanager
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def write(df: DataFrame, name: str, narrow: bool = False) -> str:
     """Writes ``df`` as Parquet to a new folder and returns its path.
 
-    The written table takes the place of the shuffles behind it, so Spark deletes their files as the write ends.
+    The written table takes the place of the shuffles behind it, so Spark deletes their files as the write ends. A
+    ``narrow`` table, of ids only, gets partitions of the advised size, be they one, instead of one for each core.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _set(spark, {CLEANUP: "true"} | ({PARALLEL_FIRST: "false"} if narrow else {})):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return path
 
 
-def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def kept(df: DataFrame, name: str, narrow: bool = False) -> tuple[DataFrame, str]:
     """``stage`` and the path of what it wrote, for ``remove`` once nothing reads it."""
-    path = write(df, name)
+    path = write(df, name, narrow)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Cuts the lineage: writes ``df`` and reads it back, so that a lost executor costs no recomputation before it."""
     spark, schema = df.sparkSession, df.schema
-    return spark.read.schema(schema).parquet(write(df, name))
+    return spark.read.schema(schema).parquet(write(df, name, narrow))
