@@ -5,7 +5,9 @@ on exact pair counts; every other word joins the class that its neighbours in th
 of exchange move words of any frequency, each against the table of class pairs, by the word's own counts with the
 classes before and after it in the whole corpus. A round that lowers the likelihood is undone and repeated with
 half of the words. P(word | word before) = P(class | class before) P(word | class); transitions are smoothed by the
-classes' shares, emissions give up ``discount`` counts a word to the unseen.
+classes' shares, emissions give up ``discount`` counts a word to the unseen. A spelling model, bytes by their shares
+in training words and an end, shares this mass out to all words that training texts lack, so that probabilities of
+the next token sum to one over the known words, the end and every other word.
 
 The corpus is read once and kept as chunks: a chunk has its own short word list, and its documents as numbers
 in it. Words are dealt by hash into buckets, which add up what the chunks counted; chunks and buckets exchange packed
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.storage import remove, write
+from larkspur.llm.storage import kept, remove
 
 CHUNK = 8_000_000
 BUCKET = 200_000  # words that the chunks list, in a bucket
@@ -55,7 +57,9 @@ def _chunk(number: int, ids: list, train: list, texts: list) -> dict:
     lens = np.array([len(x) for x in lists], dtype=np.int32)
     n = np.bincount(tokens[np.repeat(np.array(train, dtype=bool), lens)], minlength=len(place))
     order = np.argsort(np.fromiter(map(zlib.crc32, place), dtype=np.uint32, count=len(place)), kind="stable")
-    return {"chunk": number, "size": len(place), "order": _pack(order), "words": zstandard.compress(b" ".join(place), 3), "n": _pack(n), "tokens": _pack(tokens), "lens": _pack(lens), "ids": ids, "train": train}
+    spell = np.bincount(np.frombuffer(b"".join(place), np.uint8), weights=np.repeat(n, list(map(len, place))), minlength=256)
+    spell = np.append(spell, n.sum()).astype(np.int64)
+    return {"chunk": number, "spell": spell, "size": len(place), "order": _pack(order), "words": zstandard.compress(b" ".join(place), 3), "n": _pack(n), "tokens": _pack(tokens), "lens": _pack(lens), "ids": ids, "train": train}
 
 
 def chunks_of(docs: DataFrame, id_col: str, train) -> DataFrame:
@@ -75,7 +79,33 @@ def chunks_of(docs: DataFrame, id_col: str, train) -> DataFrame:
         if held[0]:
             yield pd.DataFrame([_chunk(number, *held)])
 
-    return rows.mapInPandas(run, "chunk long, size long, order binary, words binary, n binary, tokens binary, lens binary, ids array<string>, train array<boolean>")
+    return rows.mapInPandas(run, "chunk long, spell array<long>, size long, order binary, words binary, n binary, tokens binary, lens binary, ids array<string>, train array<boolean>")
+
+
+@dataclass
+class Spelling:
+    """Log10 shares of bytes, and of a word's end, in training words."""
+
+    byte: np.ndarray
+    end: float
+
+    def logs(self, words: list[bytes]) -> np.ndarray:
+        """Log10 probability of each word among all words that aren't empty."""
+        lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        if not len(lens):
+            return np.zeros(0)
+        each = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        return np.add.reduceat(each, np.cumsum(lens) - lens) + self.end - np.log10(1 - 10**self.end)
+
+
+def spelling_of(chunks: DataFrame) -> Spelling:
+    """Learned from all training words, as often as they stand: 257 numbers, each half a count up."""
+    n = np.full(257, 0.5)
+    n[[9, 10, 11, 12, 13, 32]] = 0
+    for r in chunks.select(F.posexplode("spell")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+        n[r["pos"]] += r["n"]
+    logs = np.log10(np.maximum(n / n.sum(), 1e-300))
+    return Spelling(logs[:256], float(logs[256]))
 
 
 def _words(blob: bytes) -> list[bytes]:
@@ -93,12 +123,13 @@ def _map(df: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
     return df.select(columns).mapInArrow(run, schema)
 
 
-def number_words(chunks: DataFrame, buckets: int, head: int) -> DataFrame:
+def number_words(chunks: DataFrame, buckets: int, head: int, spelling: Spelling) -> DataFrame:
     """Words by bucket: for each chunk the numbers and total training counts of its words there, in the chunk's ``order``.
 
-    A row with chunk -1 is the bucket's own: counts and a byte of the hash for each of its words, and its ``head``
-    most frequent ones. Numbers follow the hash.
+    A row with chunk -1 is the bucket's own: counts and a byte of the hash for each of its words, its ``head`` most
+    frequent ones, and the probability that spelling gives to its training words. Numbers follow the hash.
     """
+    sent = chunks.sparkSession.sparkContext.broadcast(spelling)
 
     def work(row: dict) -> Iterator[pa.RecordBatch]:
         words, n, order = _words(row["words"]), _unpack(row["n"]), _unpack(row["order"])
@@ -123,12 +154,13 @@ def number_words(chunks: DataFrame, buckets: int, head: int) -> DataFrame:
             total[rank[ids]] += _unpack(n)
         often = np.flatnonzero(total >= (np.partition(total, -head)[-head] if len(total) > head else 1))
         top = sorted(((-int(total[i]), words[order[i]]) for i in often if total[i]))[:head]
-        out = [(f["bucket"].iloc[0], -1, _pack(np.zeros(0)), _pack(total, np.int64), _pack(hashes[order] & 255, np.uint8), [{"word": w, "n": -n} for n, w in top])]
-        out += [(f["bucket"].iloc[0], c, _pack_rising(rank[ids]), _pack(total[rank[ids]], np.int64), b"", []) for c, ids in zip(f["chunk"], first, strict=True)]
-        return pd.DataFrame(out, columns=["bucket", "chunk", "ids", "n", "draw", "top"])
+        spelt = float((10 ** sent.value.logs([words[order[i]] for i in np.flatnonzero(total)])).sum())
+        out = [(f["bucket"].iloc[0], -1, _pack(np.zeros(0)), _pack(total, np.int64), _pack(hashes[order] & 255, np.uint8), [{"word": w, "n": -n} for n, w in top], spelt)]
+        out += [(f["bucket"].iloc[0], c, _pack_rising(rank[ids]), _pack(total[rank[ids]], np.int64), b"", [], 0.0) for c, ids in zip(f["chunk"], first, strict=True)]
+        return pd.DataFrame(out, columns=["bucket", "chunk", "ids", "n", "draw", "top", "spelt"])
 
     listed = _map(chunks, ["chunk", "words", "n", "order"], work, "bucket int, chunk long, words binary, n binary")
-    return listed.groupBy("bucket").applyInPandas(add_up, "bucket int, chunk long, ids binary, n binary, draw binary, top array<struct<word: binary, n: long>>")
+    return listed.groupBy("bucket").applyInPandas(add_up, "bucket int, chunk long, ids binary, n binary, draw binary, top array<struct<word: binary, n: long>>, spelt double")
 
 
 def bucket_sums(numbers: DataFrame, values: DataFrame | None, work, schema: str):
@@ -367,17 +399,17 @@ def exchange_all(chunks: DataFrame, numbers: DataFrame, first: Classes, rounds:
     A round moves the words in a range of hash bytes. Rounds go on after number ``rounds`` until every word had its turn.
     """
     classes = first.classes
-    votes, votes_path = _kept(neighbour_counts(chunks, numbers, classes, first), "votes")
-    state, path = _kept(reclassed(votes, classes, np.zeros((1, 1)), first), "classes")
+    votes, votes_path = kept(neighbour_counts(chunks, numbers, classes, first), "votes")
+    state, path = kept(reclassed(votes, classes, np.zeros((1, 1)), first), "classes")
     remove(chunks.sparkSession, votes_path)
     if not rounds:
         return state, path
-    votes, votes_path = _kept(neighbour_counts(chunks, state, classes), "votes")
+    votes, votes_path = kept(neighbour_counts(chunks, state, classes), "votes")
     table, low, width, done = class_pairs(votes, classes), 0, 128, 0
     while done < rounds or low < 256:
         high = low % 256 + width
-        new, new_path = _kept(reclassed(votes, classes, table, None, low % 256, high), "classes")
-        new_votes, new_votes_path = _kept(neighbour_counts(chunks, new, classes), "votes")
+        new, new_path = kept(reclassed(votes, classes, table, None, low % 256, high), "classes")
+        new_votes, new_votes_path = kept(neighbour_counts(chunks, new, classes), "votes")
         new_table = class_pairs(new_votes, classes)
         gain = likelihood(new_table) - likelihood(table)
         if gain >= 0:
@@ -396,7 +428,8 @@ def exchange_all(chunks: DataFrame, numbers: DataFrame, first: Classes, rounds:
 
 @dataclass
 class Emission:
-    """What scoring a document needs: counts of classes and their words, totals and the discount."""
+    """What scoring a document needs: counts of classes and their words, totals and the discount; ``known`` is the
+    probability that spelling gives to all training words."""
 
     count: np.ndarray
     kinds: np.ndarray
@@ -404,6 +437,8 @@ class Emission:
     distinct: int
     ends: int
     discount: float
+    spelling: Spelling
+    known: float
 
 
 def document_sums(chunks: DataFrame, numbers: DataFrame, state: DataFrame, classes: int, emission: Emission) -> DataFrame:
@@ -427,6 +462,9 @@ def document_sums(chunks: DataFrame, numbers: DataFrame, state: DataFrame, class
             emit = np.zeros(len(n))
             seen = (n > 0) & (of < k - 2)
             emit[seen] = np.log10((n[seen] - e.discount) / e.count[of[seen]])
+            if e.total:
+                words, new = _words(row.words), np.flatnonzero(n[:-1] == 0)
+                emit[new] = e.spelling.logs([words[i] for i in new]) - np.log10(max(1 - e.known, 1e-12))
             tokens, lens = _unpack(row.tokens).astype(np.int64), _unpack(row.lens).astype(np.int64)
             s = np.insert(tokens, np.cumsum(lens), len(order))
             first = np.cumsum(lens + 1) - (lens + 1)
@@ -444,12 +482,16 @@ def document_sums(chunks: DataFrame, numbers: DataFrame, state: DataFrame, class
             }))
         return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 
-    return chunks.select("chunk", "order", "tokens", "lens", "ids", "train").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(score, schema)
+    return chunks.select("chunk", "order", "words", "tokens", "lens", "ids", "train").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(score, schema)
 
 
-def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = write(df, name)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+def transitions(seen: np.ndarray, count: np.ndarray, kinds: np.ndarray, ends: int, discount: float, alpha: float) -> np.ndarray:
+    """Log10 probabilities of the class after each class: word classes, the end, and unseen words (the last), which get
+    what the emissions of the classes give up. ``seen`` are the counts without a column for unseen words."""
+    share = np.append(count, ends) / (count.sum() + ends)
+    follow = (seen + alpha * share) / (seen.sum(axis=1, keepdims=True) + alpha)
+    given = np.divide(discount * kinds, count, out=np.zeros(len(count)), where=count > 0)
+    return np.log10(np.maximum(np.column_stack((follow, follow[:, : len(count)] @ given)), 1e-30))
 
 
 def score(docs: DataFrame, train, id_col: str = "doc_id", classes: int = 16, head: int = 2048, alpha: float = 5.0, rounds: int = 4) -> DataFrame:
@@ -460,9 +502,11 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", classes: int = 16, hea
     the smaller word.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType
-    chunks, chunk_path = _kept(chunks_of(docs, id_col, F.coalesce(train, F.lit(False)) & F.col(id_col).isNotNull()), "chunks")
+    chunks, chunk_path = kept(chunks_of(docs, id_col, F.coalesce(train, F.lit(False)) & F.col(id_col).isNotNull()), "chunks")
     buckets = 16 + int(chunks.agg(F.sum("size")).first()[0] or 0) // BUCKET
-    numbers, number_path = _kept(number_words(chunks, buckets, head), "numbers")
+    spelling = spelling_of(chunks)
+    numbers, number_path = kept(number_words(chunks, buckets, head, spelling), "numbers")
+    spelt = numbers.where("chunk = -1").agg(F.sum("spelt")).first()[0] or 0.0
     ends = docs.where(F.coalesce(train, F.lit(False)) & F.col(id_col).isNotNull()).count()
 
     def kinds_of(row: dict) -> Iterator[pa.RecordBatch]:
@@ -494,7 +538,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", classes: int = 16, hea
 
     for r in bucket_sums(numbers, state, by_class, "class int, n long, k long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect():
         count[r["class"]], kinds[r["class"]] = r["n"], r["k"]
-    sums, _ = _kept(document_sums(chunks, numbers, state, classes, Emission(count, kinds, total, distinct, ends, discount)), "sums")
+    sums, _ = kept(document_sums(chunks, numbers, state, classes, Emission(count, kinds, total, distinct, ends, discount, spelling, spelt)), "sums")
     for path in (chunk_path, number_path, state_path):
         remove(spark, path)
     k = classes + 2
@@ -503,13 +547,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", classes: int = 16, hea
     for r in learnt.collect():  # a row for each pair of classes
         seen[r["codes"]] = r["n"]
     seen = seen.reshape(k, k)[:, : k - 1]
-    share = np.append(count, ends) / max(total, 1)
-    follow = (seen + alpha * share) / (seen.sum(axis=1, keepdims=True) + alpha)
-    unseen = np.divide(discount * kinds, count, out=np.zeros(classes), where=count > 0)
-    logs = np.zeros((k, k))
-    if total:
-        logs[:, : k - 1] = np.log10(np.maximum(follow, 1e-30))
-        logs[:, k - 1] = np.log10(np.maximum(follow[:, :classes] @ unseen, 1e-12))
+    logs = transitions(seen, count, kinds, ends, discount, alpha) if total else np.zeros((k, k))
     table = F.array(*[F.lit(float(x)) for x in logs.ravel()])
     moves = F.aggregate(F.arrays_zip("codes", "times"), F.lit(0.0), lambda a, x: a + F.get(F.col("logs"), x["codes"]) * x["times"])
     out = sums.withColumn("logs", table).select(
