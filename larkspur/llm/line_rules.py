@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.names import col
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 BOILERPLATE = (
     "cookie", "javascript", "all rights reserved", "terms of use", "terms of service", "privacy policy",
-    "licensed under", "creative commons", "copyright", "subscribe", "newsletter", "sign in", "log in",
+    "licensed under", "creative commons", r"copyright (?:\(c\)|[12][0-9]{3})", "subscribe", "newsletter", "sign in", "log in",
     "click here", "read more", "lorem ipsum",
 )
 
@@ -27,20 +29,25 @@ def words(text: Column) -> Column:
 def line_verdict(
     line: Column, max_symbol_share: float = 0.3, max_shout_share: float = 0.5, max_separator_share: float = 0.15, max_boilerplate_words: int = 40
 ) -> Column:
-    """Name of the first rule that a line breaks, ``blank`` for a line without words, null for a good one."""
+    """Name of the first rule that a line breaks, ``blank`` for a line without words, null for a good one.
+
+    navigation: separators between few words. boilerplate: a short line with a telling phrase as whole words, or a
+    copyright sign. punctuation: the line doesn't end with a mark of its sentence (so a paragraph that is cut off goes),
+    or marks stand in place of words: many words end in symbols or in repeated exclamation marks.
+    """
     n = F.regexp_count(line, F.lit(WORD))
     ended = F.concat(line, F.lit(" "))
     separators = F.regexp_count(line, F.lit(r"[|»›·•]|[\x20\x09]>[\x20\x09]"))
     symbols = F.regexp_count(ended, F.lit(r"[#*$%&<>\\^~={}][\x20\x09-\x0D]"))
     shouts = F.regexp_count(ended, F.lit(r"!![\x20\x09-\x0D]"))
-    phrase = F.concat(F.lit(" "), line).rlike(r"(?i)[^a-z](?:" + "|".join(BOILERPLATE) + r")|©")
+    phrase = F.concat(F.lit(" "), line).rlike(r"(?i)[^a-z](?:" + "|".join(BOILERPLATE) + r")(?:[^a-z]|\z)|©")
     return (
         F.when(n == 0, "blank")
         .when((separators >= 2) & (separators >= max_separator_share * n), "navigation")
-        .when((symbols >= 2) & (symbols >= max_symbol_share * n), "symbols")
-        .when((shouts >= 3) & (shouts >= max_shout_share * n), "shouting")
         .when((n <= max_boilerplate_words) & phrase, "boilerplate")
-        .when(~ended.rlike(r"[.!?:;…。！？][\"'”’»)\]]*[\x20\x09-\x0D]"), "punctuation")
+        .when(~line.rlike(r"[.!?:;…。！？][\"'”’»)\]]*[\x20\x09-\x0D]*\z"), "punctuation")
+        .when((symbols >= 2) & (symbols >= max_symbol_share * n), "punctuation")
+        .when((shouts >= 3) & (shouts >= max_shout_share * n), "punctuation")
     )
 
 
@@ -73,8 +80,8 @@ def clean(docs: DataFrame, max_lost: float = 0.7, min_words: int = 20, max_repea
     kept unchanged. Repeated rows get equal results; columns of any other name pass through. Very long texts
     cost time in proportion to their length times its logarithm, within one row.
     """
-    own = [F.col(f"d.`{c}`") for c in docs.columns if c != "quality"]
-    row = docs.select(F.struct(*docs.columns).alias("d"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    own = [F.col("d").getField(c).alias(c) for c in docs.columns if c != "quality"]
+    row = docs.select(F.struct(*map(col, docs.columns)).alias("d"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
     row = row.select("d", "t", words(F.col("t")).alias("words"), F.split("t", "\n").alias("lines"))
     row = row.select("d", "t", "lines", F.size("words").cast("long").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w)).alias("word_hashes"))
     row = row.select(
@@ -106,7 +113,7 @@ def clean(docs: DataFrame, max_lost: float = 0.7, min_words: int = 20, max_repea
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """One row a document: the base counts and the verdict."""
+    """One row for each row of ``docs``: the base counts and the verdict, as ``clean`` defines them for nulls, long texts and repeated rows."""
     q = "quality."
     return clean(docs.select("doc_id", "text")).select(
         "doc_id", *[F.col(q + c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines")], F.round(q + "lost_share", 6).alias("lost_share")
