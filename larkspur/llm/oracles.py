@@ -25,8 +25,8 @@ f AS (SELECT doc_id, line, n, c, n > 0 AND (
   ({_count("line", r"[|»›·•]|[\x20\x09]>[\x20\x09]")} >= greatest(2, 0.15 * n)) OR
   ({_count("e", rf"[#*$%&<>\\^~={{}}]{BLANK}")} >= greatest(2, 0.3 * n)) OR
   ({_count("e", rf"!!{BLANK}")} >= greatest(3, 0.5 * n)) OR
-  (n <= 40 AND regexp_matches(concat(' ', line), '(?i)[^a-z](?:{"|".join(BOILERPLATE)})|©')) OR
-  NOT regexp_matches(e, '[.!?:;…。！？]["''”’»)\]]*{BLANK}')) AS bad FROM l),
+  (n <= 40 AND regexp_matches(concat(' ', line), '(?i)[^a-z](?:{"|".join(BOILERPLATE)})(?:[^a-z]|\z)|©')) OR
+  NOT regexp_matches(line, '[.!?:;…。！？]["''”’»)\]]*{BLANK}*\z')) AS bad FROM l),
 g AS (SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines, count(*) FILTER (bad) AS n_failed_lines, coalesce(sum(c) FILTER (bad), 0) AS lost FROM f GROUP BY 1),
 b AS (SELECT w.doc_id, len(ws) AS n_words, {_CHARS.format("t")} AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
   n_failed_lines, lost FROM w JOIN g USING (doc_id) LEFT JOIN cov USING (doc_id)),
@@ -48,19 +48,36 @@ def _host(rest: str) -> str:
     return f"translate(regexp_extract({rest}, '^[^/?#]*'), '{UPPER}', '{LOWER}')"
 
 
+def _clean(path: str) -> str:
+    """Path without dot segments: a list is built step by step, ``..`` takes its last entry off."""
+    steps = f"string_split(substr({path}, 2), '/')"
+    folded = f"list_reduce(list_prepend([''], list_transform({steps}, lambda s: [s])), lambda a, s: CASE s[1] WHEN '.' THEN a WHEN '..' THEN a[1 : greatest(1, len(a) - 1)] ELSE a || s END)"
+    return f"CASE WHEN {path} = '' THEN '/' WHEN {path} NOT LIKE '%/.%' THEN {path} ELSE array_to_string({folded}, '/') || CASE WHEN {steps}[-1] IN ('.', '..') THEN '/' ELSE '' END END"
+
+
+def _value(name: str) -> str:
+    """What an attribute of a tag says, in quotes of either kind or bare."""
+    return "concat_ws('', " + ", ".join(f"regexp_extract(tag, '(?i)\\s{name}\\s*=\\s*{x}', 1)" for x in ('"([^"]*)"', "''([^'']*)''", "([^\"''\\s>]+)")) + ")"
+
+
 URL_FILTER = rf"""
 WITH RECURSIVE p AS (SELECT page_id, html, {_rest("url")} AS rest FROM pages),
 q AS (SELECT page_id, html, {_host("rest")} AS host, regexp_extract(regexp_extract(rest, '^[^#]*'), '^[^/?]*([^?]*)', 1) AS path, regexp_extract(regexp_extract(rest, '^[^#]*'), '\?.*$') AS query FROM p),
-n AS (SELECT *, host || path || query AS node FROM q),
-raw AS (SELECT node, host, path, unnest([
-  regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-  regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*[''"]?([^"''\s>]+)', 1)]) AS link FROM n WHERE node <> ''),
-lk AS (SELECT node, host, path, replace(trim(link), '&amp;', '&') AS link FROM raw WHERE link <> '' AND NOT regexp_matches(link, '(?i)^(?:mailto|javascript|data):')),
-m AS (SELECT *, regexp_extract(link, '^[^#]*') AS bare, {_rest("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS rest FROM lk),
-e0 AS (SELECT node AS u, CASE WHEN {_host("rest")} <> '' THEN {_host("rest")} || regexp_extract(regexp_extract(rest, '^[^#]*'), '^[^/?]*([^?]*)', 1) || regexp_extract(regexp_extract(rest, '^[^#]*'), '\?.*$')
-  WHEN bare = '' THEN NULL WHEN starts_with(bare, '/') THEN host || bare WHEN starts_with(bare, '?') THEN host || path || bare
-  ELSE host || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^.*/') END || bare END AS v FROM m),
-e AS (SELECT u, v FROM e0 WHERE v IS NOT NULL AND u <> v UNION SELECT v, u FROM e0 WHERE v IS NOT NULL AND u <> v),
+n AS (SELECT *, CASE WHEN host = '' THEN '' ELSE host || {_clean("path")} || query END AS node FROM q),
+tags AS (SELECT node, host, path, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g'), '(?i)<(?:link|meta)\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM n WHERE host <> '' AND regexp_matches(html, '(?i)canonical|refresh')),
+raw AS (SELECT node, host, path, CASE
+  WHEN starts_with(lower(tag), '<link') THEN CASE WHEN list_contains(string_split_regex(lower({_value("rel")}), '\s+'), 'canonical') THEN {_value("href")} END
+  WHEN lower({_value("http-equiv")}) = 'refresh' THEN regexp_extract({_value("content")}, '(?i)^[^;,]*[;,]\s*url\s*=\s*["'']?([^"'']*)', 1) END AS link FROM tags),
+lk AS (SELECT node, host, path, regexp_extract(trim(replace(replace(replace(replace(replace(link, '&quot;', '"'), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '^[^#]*') AS link FROM raw WHERE link IS NOT NULL),
+m AS (SELECT node, host, path, link, lower(regexp_extract(link, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, {_rest("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS rest FROM lk WHERE link <> ''),
+parts AS (SELECT node AS u, CASE
+    WHEN starts_with(link, '//') OR scheme IN ('http', 'https') THEN struct_pack(h := {_host("rest")}, p := regexp_extract(rest, '^[^/?]*([^?]*)', 1), q := regexp_extract(rest, '\?.*$'))
+    WHEN scheme <> '' THEN struct_pack(h := '', p := '', q := '')
+    WHEN starts_with(link, '/') THEN struct_pack(h := host, p := regexp_extract(link, '^[^?]*'), q := regexp_extract(link, '\?.*$'))
+    WHEN starts_with(link, '?') THEN struct_pack(h := host, p := path, q := link)
+    ELSE struct_pack(h := host, p := CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^.*/') END || regexp_extract(link, '^[^?]*'), q := regexp_extract(link, '\?.*$')) END AS t FROM m),
+e0 AS (SELECT u, t.h || {_clean("t.p")} || t.q AS v FROM parts WHERE t.h <> ''),
+e AS (SELECT u, v FROM e0 WHERE u <> v UNION SELECT v, u FROM e0 WHERE u <> v),
 bad AS (SELECT u AS node FROM e WHERE {_fit("regexp_extract(u, '^[^/?]*')", "regexp_extract(u, '^[^/?]*([^?]*)', 1)", 3)} = 'block' UNION SELECT e.v FROM bad JOIN e ON e.u = bad.node)
 SELECT page_id, host, path, {_fit("host", "path", 0)} AS rule, coalesce({_fit("host", "path", 3)}, CASE WHEN node IN (SELECT node FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM n"""
 
