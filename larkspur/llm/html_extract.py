@@ -16,11 +16,14 @@ from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from larkspur.llm.names import col
 
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)
       | <(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|canvas|audio|video)\b.*?(?:</(?P=raw)\s*>|\Z)
-      | <(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^<>"']++|"[^"]{0,2000}+"|'[^']{0,2000}+'|["'])*+)(?:>|(?=<)|\Z)
+      | <(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^<>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)(?:>|(?=<)|\Z)
       | <[!?][^>]*(?:>|\Z)""",
     re.S | re.I | re.X,
 )
@@ -221,15 +224,16 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """All columns but the source, with ``text`` and ``n_chars`` (columns of those names are replaced).
 
-    Null sources give an empty text; unclosed tags, comments and quotes end with the page; equal sources give
-    equal texts.
+    Null sources give an empty text; unclosed tags and comments end with the page, a quote that isn't closed is a sign
+    like others; equal sources give equal texts, so repeated rows do. Pages and attributes of any length are read
+    whole; other columns of any name pass through; an empty table gives an empty one.
     """
     kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept] + ["text string", "n_chars long"])
+    schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             texts = [main_text(h) for h in f[html_col]]
             yield f[kept].assign(text=pd.Series(texts, dtype=object, index=f.index), n_chars=pd.Series([len(t) for t in texts], dtype="int64", index=f.index))
 
-    return pages.select(*kept, html_col).mapInPandas(run, schema)
+    return pages.select(*map(col, [*kept, html_col])).mapInPandas(run, schema)
