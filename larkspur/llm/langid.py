@@ -2,8 +2,8 @@
 
 Linear support vector machines, one for each pair, decide the language family first and then, within the
 family, the language. Inputs are shares of hashed letter pairs and triples of the whole text. The machines
-learn on the driver from a sample of at most ``sample`` documents a language and ``most`` in all, of which
-only hashed counts are gathered; everything else runs over all rows without a shuffle.
+learn on the driver from a sample of at most ``sample`` documents a language and about ``most`` in all, one of each
+language at least, of which only hashed counts are gathered; everything else runs over all rows without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.arrays import lists
+from larkspur.llm.names import col, fresh
 
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fy lb af yi",
@@ -52,15 +53,22 @@ IS_LETTER = _known_letters()
 
 
 def gram_codes(text: str) -> Iterator[np.ndarray]:
-    """Hashed codes of letter pairs and triples, lower case, anything but letters as one space, part by part."""
-    for at in range(0, max(len(text), 1), PART):
-        low = text[max(at - 2, 0) : at + PART].lower()
-        c = np.frombuffer(f" {low} ".encode("utf-32-le", "replace"), dtype=np.uint32)
-        c = np.where((c >= 0x3000) | IS_LETTER[np.minimum(c, 0x2FFF)], c, np.uint32(32))
-        c = c[np.concatenate(([True], (c[1:] != 32) | (c[:-1] != 32)))]
+    """Hashed codes of letter pairs and triples, lower case, anything but letters as one space.
+
+    A long text is coded part by part for the sake of memory; the last two codes go over to the next part, so that
+    the parts give what the whole text gives.
+    """
+    low, before = text.lower(), np.array([32], dtype=np.uint32)
+    for at in range(0, max(len(low), 1), PART):
+        piece = low[at : at + PART] + (" " if at + PART >= len(low) else "")
+        c = np.frombuffer(piece.encode("utf-32-le", "replace"), dtype=np.uint32)
+        c = np.concatenate((before, np.where((c >= 0x3000) | IS_LETTER[np.minimum(c, 0x2FFF)], c, np.uint32(32))))
+        old = len(before)
+        c = c[np.concatenate((np.ones(old, dtype=bool), (c[old:] != 32) | (c[old - 1 : -1] != 32)))]
         two = c[:-1] * PRIMES[0] ^ c[1:] * PRIMES[1]
         three = two[:-1] ^ c[2:] * PRIMES[2]
-        for code in (two, three):
+        before = c[-2:]
+        for code in (two[old - 1 :], three[max(old - 2, 0) :]):
             code ^= code >> np.uint32(15)
             code *= PRIMES[1]
             yield (code >> np.uint32(17)).astype(np.int32)
@@ -170,10 +178,14 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", sample: int = 1200, most: int = 12000) -> Machine:
-    """Learns from rows of (id, text, lang) with a language and an id; the sample is drawn by hash of the id."""
+    """Learns from rows of (id, text, lang) with a language and an id; the sample is drawn by hash of the id.
+
+    Null and empty texts teach nothing; repeated rows count as often as they are drawn. Columns of other names are
+    not read. Without any row nothing is learned, and ``identify`` then answers ``und``.
+    """
     spark = docs.sparkSession
     known = docs.where(F.col("lang").isNotNull() & F.col(id_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most // 4).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return Machine([], [], [], np.zeros((DIMS, 1), dtype=np.float32), np.zeros(1))
     each = max(1, min(sample, most // len(counts)))
@@ -191,10 +203,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", sample: int = 1200, most: int
     return train(found)
 
 
-def identify(docs: DataFrame, machine: Machine) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score`` (columns of those names are replaced).
+def identify(docs: DataFrame, machine: Machine, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """All columns of ``docs`` with the language and its score (columns of the names given for these are replaced).
 
-    Null texts and texts without a letter give ``und`` and 0; equal texts give equal results.
+    Null texts and texts without a letter give ``und`` and 0; equal texts give equal results, and equal scores go to
+    the language first by name. Texts of any length count whole. An empty table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
@@ -204,7 +217,9 @@ def identify(docs: DataFrame, machine: Machine) -> DataFrame:
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     once = guess.asNondeterministic()  # else a filter on the result runs it a second time
-    return docs.withColumn("_guess", once("text")).withColumns({"lang_pred": F.col("_guess.lang_pred"), "score": F.col("_guess.score")}).drop("_guess")
+    guessed = fresh("guess", docs.columns)
+    own = [col(c) for c in docs.columns if c not in (lang_col, score_col)]
+    return docs.select(*map(col, docs.columns), once(col("text")).alias(guessed)).select(*own, F.col(guessed)["lang_pred"].alias(lang_col), F.col(guessed)["score"].alias(score_col))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.arrays import lists
 from larkspur.llm.bpe import Memo
+from larkspur.llm.names import col, fresh
 
 BITS = 18
 SHAPES = 5
@@ -101,7 +102,8 @@ def learn(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str =
     """Learns from ``ratings`` (id, grade from 0): at most ``sample / n_grades`` documents of each grade, by hash of the id.
 
     Each sampled document counts by its grade's share of all ratings, so that probabilities stay honest. Rows
-    with a null id or grade teach nothing; without any rating every document gets even odds.
+    with a null id or grade teach nothing; without any rating every document gets even odds. Repeated rows of
+    ``docs`` teach as often as they stand; texts count whole.
     """
     rated = ratings.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull())
     counts = {r[0]: r[1] for r in rated.groupBy("grade").count().collect()}
@@ -132,10 +134,12 @@ def learn(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str =
     return fit([x[1:] for x in found], grades, weight[grades], n_grades)
 
 
-def score(docs: DataFrame, model: Ratings, keep: float = 0.2) -> DataFrame:
-    """All columns of ``docs`` with ``expected_grade``, ``p_best`` (the best grade's probability) and ``kept``.
+def score(docs: DataFrame, model: Ratings, keep: float = 0.2, names: tuple[str, str, str] = ("expected_grade", "p_best", "kept")) -> DataFrame:
+    """All columns of ``docs`` with the expected grade, the best grade's probability and whether that is ``keep`` or more,
+    under ``names`` (columns of those names are replaced).
 
     A text that is null or has no words says nothing: its odds come from the thresholds alone and it isn't kept.
+    Texts of any length count whole; repeated rows get equal results; an empty table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -154,9 +158,11 @@ def score(docs: DataFrame, model: Ratings, keep: float = 0.2) -> DataFrame:
                 out.append((float(tail.sum()), float(tail[-1]), bool(words) and bool(tail[-1] >= keep)))
             yield pd.DataFrame(out, columns=["expected_grade", "p_best", "kept"])
 
-    names = ("expected_grade", "p_best", "kept")
     once = rate.asNondeterministic()  # else a filter on the result runs it a second time
-    return docs.withColumn("_rate", once("text")).withColumns({n: F.col(f"_rate.{n}") for n in names}).drop("_rate")
+    rated = fresh("rate", docs.columns)
+    own = [col(c) for c in docs.columns if c not in names]
+    rows = docs.select(*map(col, docs.columns), once(col("text")).alias(rated))
+    return rows.select(*own, *[F.col(rated)[field].alias(n) for field, n in zip(("expected_grade", "p_best", "kept"), names, strict=True)])
 
 
 def grades_of_labels(labels: DataFrame) -> DataFrame:
