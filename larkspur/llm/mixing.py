@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.line_rules import WORD, words
+from larkspur.llm.names import col, fresh
 from larkspur.llm.storage import stage
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -83,9 +84,15 @@ def permuted(i: Column, n: Column, key: Column, rounds: int = 12) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda a: a["x"])
 
 
-def ticket(docs: DataFrame, id_col: str, seed: int) -> Column:
+def ticket(id_col: str, seed: int) -> Column:
     """Names a document by its id and text and deals its place in the stream."""
-    return F.xxhash64(docs[id_col], F.coalesce(docs["text"], F.lit("")), F.lit(seed))
+    return F.xxhash64(col(id_col), F.coalesce(col("text"), F.lit("")), F.lit(seed))
+
+
+def row_hash(docs: DataFrame, seed: int) -> Column:
+    """A second hash, over all columns that can be hashed: with the ticket it names a row, but for equal rows."""
+    hashed = [col(f.name) for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    return F.xxhash64(F.lit(seed + 1), *hashed)
 
 
 def _blocks(size: Column, block: int) -> Column:
@@ -97,15 +104,16 @@ def mix(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 20, wei
 
     A null text has no words and takes no part; a null source is a source of its own, the last. Repeated
     rows are documents of their own. A block is taken ``cap`` times at most, once an epoch. All draws are
-    hashes of ``seed`` and positions, so reruns agree.
+    hashes of ``seed`` and positions, so reruns agree. Documents of one ticket keep an order by size. Columns of
+    any other name are not read but for ``row``, which tells rows apart. An empty table gives an empty plan.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    units = stage(docs.select(F.col(id_col), "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), ticket(docs, id_col, seed).alias("ticket")), "sizes")
+    units = stage(docs.select(col(id_col).alias("id"), "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), ticket(id_col, seed).alias("ticket"), row_hash(docs, seed).alias("row")), "sizes")
     sources = stage(source_table(units, weights, share, cap).coalesce(1), "sources")
     placed = units.join(sources, units["source"].eqNullSafe(sources["source"])).select(units["*"], "source_no", "n_docs", "source_size", "target")
     placed = placed.withColumn("bucket", F.pmod("ticket", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / bucket_docs).cast("long"))))
-    units = stage(running_total(placed, ["source_no"], "bucket", ["ticket", "size"], "size", "start").drop("bucket", "n_docs"), "streams")
+    units = stage(running_total(placed, ["source_no"], "bucket", ["ticket", "row"], "size", "start").drop("bucket", "n_docs"), "streams")
 
     n = _blocks(F.col("source_size"), block)
     plan = sources.where("source_size > 0").withColumns({"n_blocks": n, "wanted": F.round(F.col("target") * n / F.col("source_size")).cast("long")})
@@ -128,6 +136,8 @@ def mix(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 20, wei
     runs = runs.withColumn("last", F.least(F.col("first") + F.col("drawn"), "wanted")).where("last > first")
     # a run longer than a shard (the last one may be) is cut, so that no row grows with the input
     runs = runs.withColumn("from", F.explode(F.sequence("first", F.col("last") - 1, F.lit(shard).cast("long"))))
+    # few small rows become many slots: they are dealt out before, else a task or two would make them all
+    runs = runs.repartition(int(min(max(total // 1_000_000, 2 * spark.sparkContext.defaultParallelism), total // shard + 1)), "source_no", "from")
     slots = runs.select("shard", "source_no", "n_blocks", F.explode(F.sequence("from", F.least(F.col("from") + shard, "last") - 1)).alias("ordinal"))
     slots = slots.withColumn("epoch", F.floor(F.col("ordinal") / F.col("n_blocks")))
     slots = slots.withColumn("block", permuted(F.col("ordinal") % F.col("n_blocks"), F.col("n_blocks"), F.xxhash64(F.lit(seed), "source_no", "epoch")))
@@ -144,11 +154,11 @@ def pieces(m: Mix) -> DataFrame:
 
 
 def taken(m: Mix, id_col: str = "doc_id") -> DataFrame:
-    """A row for each document: id, size, source_size, target and the words that the mix takes of it."""
+    """A row for each row of the documents: id, size, source_size, target and the words that the mix takes of it."""
     times = m.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
     words_of = pieces(m).join(times, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("length") * F.col("times")).alias("taken"))
     full = m.units.where("size > 0").join(words_of, ["source_no", "start"], "left")
-    columns = [F.col(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"]
+    columns = [F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"]
     return full.select(columns).unionByName(m.units.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))
 
 
@@ -156,17 +166,22 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     """The mix as documents: a row for each document and epoch that takes words of it, with those words.
 
     A document taken whole keeps its text as it is; otherwise the taken words are joined by spaces. Columns
-    are those of ``docs``; ``n_chars``, if there is one, is counted anew. Documents without words go. Rows of
-    one id and text share their first row's other columns.
+    are those of ``docs``, of whatever names; ``n_chars``, if there is one, is counted anew. Documents without
+    words go. Repeated rows are documents of their own.
     """
     m = mix(docs, id_col=id_col, **options)
     parts = pieces(m).join(m.slots.select("source_no", "block", "epoch"), ["source_no", "block"])
     parts = parts.groupBy("source_no", "start", "epoch").agg(F.sum("length").alias("n"), F.array_sort(F.collect_list(F.struct("at", "length"))).alias("parts"))
-    drawn = parts.join(m.units.where("size > 0").select("source_no", "start", "ticket", F.col("size").alias("_size")), ["source_no", "start"])
-    drawn = drawn.select("ticket", "parts", "n", "_size")
-    rows = docs.withColumn("_ticket", ticket(docs, id_col, options.get("seed", 20))).dropDuplicates(["_ticket"])
-    joined = rows.join(drawn, rows["_ticket"] == drawn["ticket"])
-    some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words(F.col("text")), (p["at"] + 1).cast("int"), p["length"].cast("int")))), " ")
-    text = F.when(F.col("n") == F.col("_size"), F.col("text")).otherwise(some)
-    out = joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    drawn = parts.join(m.units.where("size > 0").select("source_no", "start", "ticket", "row", "size"), ["source_no", "start"])
+    seed = options.get("seed", 20)
+    names = {x: fresh(x, docs.columns) for x in ("ticket", "row", "parts", "n", "size")}
+    drawn = drawn.select(*[F.col(k).alias(v) for k, v in names.items()])
+    n, size, taken_parts = (F.col(names[k]) for k in ("n", "size", "parts"))
+    keys = [names["ticket"], names["row"]]
+    rows = docs.withColumns(dict(zip(keys, (ticket(id_col, seed), row_hash(docs, seed)), strict=True))).dropDuplicates(keys)
+    joined = rows.join(drawn, keys)
+    some = F.array_join(F.flatten(F.transform(taken_parts, lambda p: F.slice(words(col("text")), (p["at"] + 1).cast("int"), p["length"].cast("int")))), " ")
+    text = F.when(n == size, col("text")).otherwise(some)
+    out = joined.select(*[text.alias(c) if c == "text" else col(c) for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
