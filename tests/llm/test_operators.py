@@ -4,15 +4,17 @@ import hashlib
 import itertools
 import math
 import random
+import urllib.parse
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm import ann, bpe, brown, components, html_extract, jaccard, langid, line_rules, mixing, ordinal, url_filter
-from larkspur.llm.registry import vocabulary_path
+from larkspur.llm.registry import ORACLE_SQL, vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, quality string, score string"
 SPACE = " \t\n\v\f\r"
@@ -188,7 +190,39 @@ def test_unseen_words_cost_more(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "a b b", "c a d", "d b a", "e"])], "doc_id long, text string")
     tests = spark.createDataFrame([(100 + i, f"a {w}") for i, w in enumerate(["a", "b", "c", "d", "e", "zz"])], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in brown.score(docs.union(tests), F.col("doc_id") < 100).collect()}
-    assert all(s < 0 for s in got.values()) and got[105] < max(got[100 + i] for i in range(5))
+    assert all(s < 0 for s in got.values()) and got[105] < min(got[100 + i] for i in range(5))
+
+
+def test_fluent_texts_score_above_gibberish(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    known = [word() for _ in range(300)]
+    text = lambda: " ".join(rng.choice(known[: rng.choice((5, 50, 300))]) for _ in range(40))
+    rows = [(i, text()) for i in range(200)] + [(1000 + i, text()) for i in range(20)] + [(2000 + i, " ".join(word() for _ in range(40))) for i in range(20)]
+    got = {r["doc_id"]: r["score"] for r in brown.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000, classes=4).collect()}
+    assert min(got[1000 + i] for i in range(20)) > max(got[2000 + i] for i in range(20))
+
+
+def test_probabilities_sum_to_one():
+    """Over the known words, the end and every other word, after each class."""
+    rng = np.random.default_rng(2)
+    n = rng.integers(1, 9, 30)
+    of, discount, ends = rng.integers(0, 3, 30), 0.6, 7
+    count, kinds = np.bincount(of, weights=n, minlength=3), np.bincount(of, minlength=3)
+    seen = rng.integers(0, 20, (5, 4))
+    p = 10 ** brown.transitions(seen, count, kinds, ends, discount, 5.0)
+    emit = (n - discount) / count[of]
+    for row in p:
+        assert abs((row[of] * emit).sum() + row[3] + row[4] - 1) < 1e-9
+    share = rng.random(3)
+    share /= share.sum()
+    byte = np.full(256, -300.0)
+    byte[[97, 98]] = np.log10(share[:2])
+    spelling = brown.Spelling(byte, float(np.log10(share[2])))
+    words = [bytes(w) for k in range(1, 13) for w in itertools.product(b"ab", repeat=k)]
+    logs = 10 ** spelling.logs(words)
+    rest = (share[0] + share[1]) ** 12  # of longer words
+    assert abs(logs.sum() + rest - 1) < 1e-9
 
 
 def test_rare_words_take_part_in_exchange(spark):
@@ -331,6 +365,55 @@ def test_urls(spark):
     }
     assert url_filter.judge_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
+def test_urls_resolve_as_the_standard_says(spark):
+    """Planted redirects against urljoin and union-find, by the operator and by its SQL."""
+    rng = random.Random(9)
+    hosts = ["net", "a.example.net", "q.org", "b.foo", "h.org", "bad.net", "shop.example.com", "c.foo", "d.foo", "e.foo", "f.foo"]
+    paths = ["", "/", "/x", "/p/q", "/de/1", "/fr/1", "/en/2", "/p/r?u=http://bad.net/x", "/go?u=http://bad.net/x"]
+    links = ["../fr9", "./x", "..", ".", "?a=1", "/a/../x", "/x", "x", "../../de/1", "#part", "mailto:a@b.net", "/go?u=http://bad.net/x", "//c.foo/x", "HTTP://D.foo", "http://e.foo/?b=1&amp;c=2", "", " /x ", "/a/./b//../c"]
+    links += [f"http://{h}{p}" for h in hosts for p in paths]
+    forms = ['<link rel="canonical" href="{}">', "<LINK rel='alternate canonical' href='{}'/>", '<link href="{}" title="a > b" rel=canonical>', '<meta http-equiv="refresh" content="0; url={}">', "<meta content='3;URL={}' http-equiv=Refresh>", '<!-- <link rel="canonical" href="{}"> -->', '<link rel="canonicals" href="{}">']
+    rows, edges = [], []
+    plain = lambda url: (lambda u: u.netloc.lower() + (u.path or "/") + (f"?{u.query}" if u.query else ""))(urllib.parse.urlsplit(urllib.parse.urljoin(url, urllib.parse.urlsplit(url).path or "/") + ("?" + urllib.parse.urlsplit(url).query if urllib.parse.urlsplit(url).query else "")))
+    for i in range(400):
+        url = f"http://{rng.choice(hosts)}{rng.choice(paths)}"
+        said = [(rng.choice(forms), rng.choice(links)) for _ in range(rng.choice((0, 0, 1, 1, 2)))]
+        rows.append((i, url, "<p>refresh canonical</p>" + "x".join(f.format(x) for f, x in said)))
+        for f, x in said:
+            x = x.strip().split("#")[0].replace("&amp;", "&")
+            if x and "<!--" not in f and "canonicals" not in f and not x.startswith("mailto"):
+                edges.append((plain(url), plain(urllib.parse.urljoin(url, x))))
+    rows += [(1000, None, '<link rel="canonical" href="http://bad.net/">'), (1001, "zz", '<link rel="canonical" href="http://bad.net/">'), (1002, "http://k.foo/", None), (1003, "http://l.foo", '<link rel="canonical" href="http&#58;//bad&#x2e;net/1">' + " " * 300_000)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+
+    def own(node):
+        host, _, path = node.partition("/")
+        path = "/" + path.split("?")[0]
+        for verdict, rule in sorted(url_filter.RULES, key=lambda r: -len(r[1])):
+            name, _, start = rule.partition("/")
+            if (host == name or host.endswith(f".{name}")) and path.startswith(f"/{start}"):
+                return verdict
+
+    bad = {find(x) for x in list(root) if own(x) == "block"}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_pages(pages).collect()}
+    for i, url, _ in rows[:400]:
+        host, path = urllib.parse.urlsplit(url).netloc, urllib.parse.urlsplit(url).path
+        first = own(host + path) if path else None
+        assert got[i] == (first or ("block" if find(plain(url)) in bad else "allow")), (i, url, rows[i])
+    assert [got[i] for i in range(1000, 1004)] == ["allow", "allow", "allow", "block"]
+    con = duckdb.connect()
+    con.register("pages", pages.where("page_id < 1003").toPandas())
+    assert {r[0]: r[4] for r in con.execute(ORACLE_SQL["op8_url_filter"]).fetchall()} == {i: v for i, v in got.items() if i < 1003}
+
 
 def test_components(spark):
     rng = random.Random(9)
