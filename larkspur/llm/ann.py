@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm.names import col
 from larkspur.llm.storage import stage
 
 
@@ -133,7 +134,8 @@ def _unit(vectors) -> np.ndarray:
 
 
 def _best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of ``v`` for each row of ``q``; ties go to the smaller id. Equal vectors are compared once.
+    """The k nearest rows of ``v`` for each row of ``q``, its own among them; ties go to the smaller id. Equal vectors
+    are compared once.
 
     Cosines are settled in steps of 1e-12 for the order, so that scaled copies of one direction tie.
     """
@@ -145,29 +147,31 @@ def _best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: i
     start = np.searchsorted(of[grouped], np.arange(len(kinds) + 1))
     scale_q, scale_k = np.linalg.norm(q, axis=1), np.linalg.norm(kinds, axis=1)
     s = (q / scale_q[:, None]) @ (kinds / scale_k[:, None]).T
-    some = min(k + 1, len(kinds))  # one more, as a row's own id takes no part
+    some = min(k, len(kinds))
     rows = []
     for i in range(len(q)):
         at = np.flatnonzero(s[i] >= np.partition(s[i], -some)[-some] - 1e-9)  # all that may tie with the last
         exact = np.einsum("ij,j->i", kinds[at], q[i]) / (scale_k[at] * scale_q[i])
         found = []
         for j, x in zip(at, exact, strict=True):
-            ids = v_id[grouped[start[j] : min(start[j + 1], start[j] + k + 1)]]
-            found += [(-round(float(x), 12), int(y), x) for y in ids if y != q_id[i]]
+            ids = v_id[grouped[start[j] : min(start[j + 1], start[j] + k)]]
+            found += [(-round(float(x), 12), int(y), x) for y in ids]
         rows += [(int(q_id[i]), y, x) for _, y, x in sorted(found)[:k]]
     return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, part_rows: int = 800, sample: int = 8192, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, part_rows: int = 800, sample: int = 8192, block_rows: int = 4096, group_rows: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows found for each query, its own id apart.
 
     ``vectors`` and ``queries`` have an id and a vector. Null ids, and vectors that are null, zero, not finite
-    or of another length than most, take no part; a repeated query counts once, equal vectors rank by id. The
-    sample is drawn by hash of the id. A partition is dealt into blocks of at most ``block_rows`` rows, so one
-    vector with a third of all rows spreads over tasks.
+    or of another length than most, take no part; equal vectors rank by id. A query id that is repeated with other
+    vectors asks with the one first in order. Columns of other names are not read; empty tables give an empty one. The
+    sample is drawn by hash of the id. A partition's rows are dealt into blocks of about ``block_rows`` and its queries
+    into groups of about ``group_rows``, so one vector with a third of all rows spreads over tasks; queries of equal
+    vectors are asked once.
     """
     spark = vectors.sparkSession
-    good = lambda df: df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    good = lambda df: df.where(col(id_col).isNotNull() & usable(col(vector_col))).select(col(id_col).cast("long").alias("id"), col(vector_col).alias("v"))
     rows = good(vectors)
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -208,22 +212,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, part_rows: int =
                 visits.append(own)
             yield f.assign(part=visits)
 
-    asked = good(queries).where(F.size("v") == d).dropDuplicates(["id"])
-    asked = asked.mapInPandas(route, f"id long, v {kind}, part array<int>").withColumn("part", F.explode("part"))
-    asked = asked.join(F.broadcast(shape), "part").select("id", "v", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
-    there = filed.join(F.broadcast(shape), "part").select("id", "v", "part", F.pmod(F.xxhash64("id", F.lit("block")), "blocks").cast("int").alias("block"), F.lit(False).alias("asks"))
+    every = stage(good(queries).where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    one = stage(every.groupBy("v").agg(F.min("id").alias("q")), "vectors")
+    asked = one.select(F.col("q").alias("id"), "v").mapInPandas(route, f"id long, v {kind}, part array<int>").withColumn("part", F.explode("part"))
+    asked = stage(asked, "asked")
+    groups = asked.groupBy("part").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("groups"))  # at most 1024 rows
+    shape = F.broadcast(shape.join(groups, "part"))
+    dealt = lambda df, name, n: df.join(shape, "part").withColumn(name, F.pmod(F.xxhash64("id", F.lit(name)), n).cast("int"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = dealt(asked, "group", F.col("groups")).select("id", "v", "part", "group", all_of("blocks").alias("block"), F.lit(True).alias("asks"))
+    there = dealt(filed, "block", F.col("blocks")).select("id", "v", "part", all_of("groups").alias("group"), "block", F.lit(False).alias("asks"))
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         q, v = f[f["asks"]], f[~f["asks"]]
         if not len(q) or not len(v):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         stacked = np.stack([np.asarray(a, dtype=np.float64) for a in v["v"]])
-        out = [_best(q["id"].to_numpy()[at : at + 2048], np.stack([np.asarray(a, dtype=np.float64) for a in q["v"].iloc[at : at + 2048]]), v["id"].to_numpy(), stacked, k) for at in range(0, len(q), 2048)]
-        return pd.concat(out)
-
-    found = asked.unionByName(there).groupBy("part", "block").applyInPandas(compare, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        asking = np.stack([np.asarray(a, dtype=np.float64) for a in q["v"]])
+        return _best(q["id"].to_numpy(), asking, v["id"].to_numpy(), stacked, k + 1)
+
+    found = asked.unionByName(there).groupBy("part", "group", "block").applyInPandas(compare, "query_id long, vec_id long, score double")
+    order = [F.desc(F.round("score", 12)), F.col("vec_id")]
+    rank = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    near = found.withColumn("rank", rank("query_id")).where(F.col("rank") <= k + 1).select(F.col("query_id").alias("q"), "vec_id", "score")
+    own = every.join(one, "v").select(F.col("id").alias("query_id"), "q")
+    return own.join(near, "q").where("vec_id != query_id").withColumn("rank", rank("query_id")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def digest(embeddings: DataFrame) -> DataFrame:
