@@ -141,15 +141,18 @@ def blocks_of(html: str) -> list[Block]:
     return out
 
 
-def first_labels(blocks: list[Block], long: int = 200, short: int = 70, stop_high: float = 0.3, stop_low: float = 0.2, most_linked: float = 0.5) -> list[str]:
+def first_labels(blocks: list[Block], long: int = 200, short: int = 70, stop_high: float = 0.3, stop_low: float = 0.2, most_linked: float = 0.5, least_listed: float = 0.03) -> list[str]:
     """good, bad, near or short for each block, by what it is alone; doubt for one that is good in a bad container,
     out for one without stop words in a good one, which goes alone and says nothing of its neighbours.
 
     In a good container half of ``stop_low``, or one stop word in a block that isn't long, is enough to be near, and
-    short blocks with links stay open; in a bad one, blocks that aren't good are bad.
+    short blocks with links stay open; in a bad one, blocks that aren't good are bad. A page whose longer blocks hold
+    next to no listed stop words is in a language that isn't listed: there length and links decide.
     """
     out = []
     lists = any(b.label == "good" for b in blocks)
+    spoken = [w for b in blocks if b.label != "hidden" and len(b.text) >= short and b.linked <= most_linked * len(b.text.replace(" ", "")) for w in WORDS.findall(b.text.lower())]
+    listed = sum(w in STOP_WORDS for w in spoken) >= least_listed * len(spoken)
     for b in blocks:
         chars = len(b.text)
         linked = b.linked / max(1, len(b.text.replace(" ", "")))
@@ -159,7 +162,7 @@ def first_labels(blocks: list[Block], long: int = 200, short: int = 70, stop_hig
             out.append("bad" if b.label == "bad" or (linked > 0.2 and b.label != "good" and not lists) else "short")
         else:
             words = WORDS.findall(b.text.lower())
-            stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+            stop = sum(w in STOP_WORDS for w in words) / max(1, len(words)) if listed else stop_high
             if b.label == "bad":
                 out.append("doubt" if stop >= stop_high and chars > long else "bad")
             else:
