@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,26 @@ def test_ties_of_many_vectors_go_to_the_smaller_id(spark):
         assert [r["vec_id"] for r in got] == best
 
 
+def test_recall_with_many_partitions_and_a_hot_vector(spark):
+    """Eighty partitions, a sample of a fifth of the rows, queries and rows dealt into small groups, a third of one vector."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16))
+    x = np.concatenate([centres[rng.integers(60, size=5400)] + 0.5 * rng.normal(size=(5400, 16)), np.repeat(rng.normal(size=(1, 16)), 2600, axis=0)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0, "x") for i, v in enumerate(x)], "vec_id long, embedding array<float>, part int, `a.b` string")
+    got = ann.search(df, df.where("vec_id % 50 = 0"), part_rows=100, sample=1600, block_rows=256, group_rows=8).collect()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, 8000, 50):
+        s = np.round(u @ u[q], 12)
+        s[q] = -9
+        hit += len(found[q] & set(np.lexsort((np.arange(8000), -s))[:5].tolist()))
+        assert len(found[q]) == 5
+    assert hit / (5 * 160) >= 0.9
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 1.0]), (50, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert sorted((r["query_id"], r["vec_id"]) for r in ann.digest(df).collect()) == [(0, 50), (0, 50), (50, 0)]
@@ -471,6 +492,57 @@ def test_containers_are_evidence_only():
     assert text(f"<article>{two}</article><div id=comments><p>{good}</p></div><p hidden>{good}</p>") == [good.strip()] * 2
 
 
+def test_both_passes_decide():
+    rows = pq.read_table("/root/testdata/sf0.001/pages.parquet", columns=["html"]).to_pylist()
+    by_first, by_second = Counter(), Counter()
+    for r in rows:
+        blocks = html_extract.blocks_of(r["html"] or "")
+        first = html_extract.first_labels(blocks)
+        for x, y in zip(html_extract.standing(blocks, first), html_extract.labels_of(blocks), strict=True):
+            (by_first if x in ("good", "bad", "out") else by_second)[y] += 1
+    assert by_first[True] and by_first[False] and by_second[True]
+
+
+def test_second_pass_against_brute_force():
+    rng = random.Random(6)
+    sentence = "It is the text of a page and it has what is in the texts. "
+    kinds = [sentence * 6, sentence * 2, "Short one.", "Buy phones today! Best price deals, free shipping, order online, huge discounts, limited stock."]
+    for _ in range(300):
+        page = "".join(f"<{t}>{rng.choice(kinds)}</{t}>" if rng.random() < 0.8 else "<p><a href=1>A link to other pages</a></p>" for t in rng.choices(["p", "h2", "div"], k=rng.randint(1, 12)))
+        blocks = html_extract.blocks_of(page)
+        first = html_extract.standing(blocks, html_extract.first_labels(blocks))
+        want = []
+        for i, x in enumerate(first):
+            sides = []  # label and distance of the nearest decided block on each side; the page's edges are bad
+            for step in (-1, 1):
+                at = next((k for k in range(i + step, -1 if step < 0 else len(first), step) if first[k] in ("good", "bad")), None)
+                sides.append(("bad", len(first)) if at is None else (first[at], abs(at - i)))
+            (a, da), (b, db) = sides
+            if x in ("good", "bad", "out"):
+                want.append(x == "good")
+            elif a == b:
+                want.append(a == "good")
+            elif x == "near" or (blocks[i].tag.startswith("h") and b == "good"):
+                want.append(True)
+            else:
+                want.append(da != db and (a if da < db else b) == "good")
+        assert html_extract.labels_of(blocks) == want, page
+
+
+def test_pages_in_a_language_without_listed_stop_words():
+    good = "Tämä sivu kertoo pitkästä matkasta pohjoiseen jossa lunta riittää vielä toukokuussa asti kaikille hiihtäjille. " * 3
+    page = f"<div><a href=1>Etusivu</a> <a href=2>Uutiset</a></div><h1>Matka</h1><div>{good}</div><p>Loppu.</p><div>{good}</div><p><a href=3>Seuraava sivu tästä</a></p>"
+    assert html_extract.main_text(page).split("\n\n") == ["Matka", good.strip(), "Loppu.", good.strip()]
+
+
+@pytest.mark.parametrize("size", [0, 1_990, 2_010, 300_000])
+def test_attributes_of_any_length(size):
+    good = "This is the text of the page and it has a lot of the words that are in every text. " * 4
+    for quote in "\"'":
+        page = f"<article><p data-x={quote}{'a > b <i> ' * (size // 10)}{quote}>{good}</p></article>"
+        assert html_extract.main_text(page) == good.strip()
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", "<article>é</article>", "t")] * 2 + [(2, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, html_extract.extract(df).collect())) == [(1, "u", "é", 1), (1, "u", "é", 1), (2, None, "", 0)]
