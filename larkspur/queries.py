@@ -406,12 +406,6 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 add("i_stream_availablenow", _stream, "SELECT CAST(event_id AS VARCHAR) AS _id, event_type, value FROM events WHERE event_type = 'error' AND value >= 10")
 
 
-def _windows(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("doc_count")).select(F.unix_millis(F.col("w.start").cast("timestamp")).alias("start"), "event_type", "doc_count")
-
-
-add("i_window_counts", _windows, "SELECT epoch_ms(date_trunc('hour', ts)) AS start, event_type, count(*) AS doc_count FROM events GROUP BY 1, 2")
-
 # the flagship
 
 FLAGSHIP = {

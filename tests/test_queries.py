@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from larkspur.queries import ORACLE_SQL, QUERIES
+from larkspur.queries_more import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
