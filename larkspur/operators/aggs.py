@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from larkspur.errors import BadRequest
 from larkspur.functions import dates
+from larkspur.operators.percentiles import percentiles
 from larkspur.plans.mapping import Mapping
 from larkspur.plans.query import Compiler
 
@@ -80,15 +81,9 @@ class Aggregator:
             v, w = F.col(f"`{spec['value']['field']}`").cast("double"), F.coalesce(F.col(f"`{spec['weight']['field']}`").cast("double"), F.lit(1.0))
             return F.try_divide(F.sum(v * w), F.sum(F.when(v.isNotNull(), w)))
         self._field(df, spec.get("field"), () if kind == "cardinality" else ("numeric",))
-        c = F.col(f"`{spec['field']}`")
-        if spec.get("where"):  # values of matching documents only
-            c = F.when(F.coalesce(Compiler(df, self.mapping).compile(spec["where"]).predicate, F.lit(False)), c)
-        if spec.get("missing") is not None:
-            c = F.coalesce(c, F.lit(spec["missing"]).cast(df.schema[spec["field"]].dataType))
+        c = self._value(df, spec)
         array = isinstance(df.schema[spec["field"]].dataType, T.ArrayType)
         if kind == "cardinality":
-            if array:
-                return F.size(F.array_distinct(F.flatten(F.collect_set(c))))
             return F.count_distinct(c) if self.exact or spec.get("exact") else F.approx_count_distinct(c, spec.get("rsd", 0.01))
         if array:
             c = F.array_distinct(F.filter(c, lambda x: x.isNotNull()))
@@ -102,13 +97,49 @@ class Aggregator:
             return F.coalesce(F.sum(c), F.lit(0.0))
         if kind in ("min", "max", "avg"):
             return {"min": F.min, "max": F.max, "avg": F.avg}[kind](c)
+        return F.percentile_approx(c, F.array(*[F.lit(s) for s in self._shares(kind, spec)]), int(100 * float(spec.get("compression") or 100)))
+
+    def _shares(self, kind: str, spec: dict) -> list[float]:
         percents = spec.get("percents") or ([1, 5, 25, 50, 75, 95, 99] if kind == "quantiles" else None)
         if not percents or not all(0 <= p <= 100 for p in percents):
             raise BadRequest("percentiles: percents from 0 to 100")
-        shares = [p / 100 for p in percents]
-        if self.exact or spec.get("exact"):
-            return F.percentile(c, F.array(*[F.lit(s) for s in shares]))
-        return F.percentile_approx(c, F.array(*[F.lit(s) for s in shares]), int(100 * float(spec.get("compression") or 100)))
+        return [p / 100 for p in percents]
+
+    def _value(self, df: DataFrame, spec: dict) -> Column:
+        """The values of a metric: those of its field, of matching documents only, with what stands for missing ones."""
+        c = F.col(f"`{spec['field']}`")
+        if spec.get("where"):
+            c = F.when(F.coalesce(Compiler(df, self.mapping).compile(spec["where"]).predicate, F.lit(False)), c)
+        if spec.get("missing") is not None:
+            c = F.coalesce(c, F.lit(spec["missing"]).cast(df.schema[spec["field"]].dataType))
+        return c
+
+    def _apart(self, df: DataFrame, keys: list[str], name: str, kind: str, spec: dict) -> DataFrame | None:
+        """``keys`` and a metric that needs passes of its own, so that no task gathers all values of a group; else null."""
+        if kind not in ("cardinality", "percentiles", "quantiles"):
+            return None
+        self._field(df, spec.get("field"), () if kind == "cardinality" else ("numeric",))
+        array = isinstance(df.schema[spec["field"]].dataType, T.ArrayType)
+        exact = self.exact or spec.get("exact")
+        if kind == "cardinality":
+            if not array:
+                return None
+            each = df.select(*map(q, keys), F.lit(1).alias("_one"), F.explode(self._value(df, spec)).alias("_v"))
+            return each.groupBy(*map(q, keys), "_one").agg((F.count_distinct("_v") if exact else F.approx_count_distinct("_v", spec.get("rsd", 0.01))).alias(name)).drop("_one")
+        return percentiles(df, keys, self._value(df, spec), self._shares(kind, spec), name) if exact and not array else None
+
+    def _counted(self, df: DataFrame, keys: list[str], metrics: dict[str, tuple[str, dict]], count: str | None) -> DataFrame:
+        """A row for each group with its metrics; those computed apart are joined by the keys."""
+        apart = {n: x for n, (k, s) in metrics.items() if (x := self._apart(df, keys, n, k, s)) is not None}
+        plain = [self.metric(df, k, s).alias(n) for n, (k, s) in metrics.items() if n not in apart]
+        plain = ([F.count(F.lit(1)).alias(count)] if count else []) + plain
+        rows = df.groupBy(*map(q, keys)).agg(*(plain or [F.count(F.lit(1)).alias("_rows")]))
+        empty = {n for n in apart if metrics[n][0] == "cardinality"}
+        for side in apart.values():
+            one = F.lit(1).alias("_one")
+            rows = rows.select("*", one).join(side.select("*", one), [*keys, "_one"], "left").drop("_one")
+        out = [F.coalesce(q(n), F.lit(0).cast("long")).alias(n) if n in empty else q(n) for n in metrics]
+        return rows.select(*map(q, keys), *([count] if count else []), *out)
 
     # buckets
 
@@ -245,7 +276,7 @@ class Aggregator:
         out = []
         top = {n: kind_of(x) for n, x in tree.items() if kind_of(x)[0] in METRICS} if not parents else {}
         if top:
-            rows = df.agg(*[self.metric(df, k, s).alias(n) for n, (k, s) in top.items()])
+            rows = self._counted(df, [], top, None)
             out.append(Node("", "metrics", rows, [], top))
         for name, body in tree.items():
             kind, spec = kind_of(body)
@@ -259,7 +290,7 @@ class Aggregator:
                 self.numbered.add(key)
             below = children_of(body)
             metrics = {n: kind_of(x) for n, x in below.items() if kind_of(x)[0] in METRICS}
-            counted = inner.groupBy(*map(q, [*parents, key])).agg(F.count(F.lit(1)).alias("doc_count"), *[self.metric(inner, k, s).alias(n) for n, (k, s) in metrics.items()])
+            counted = self._counted(inner, [*parents, key], metrics, "doc_count")
             counted = self._keep(counted, parents, key, kind, spec, list(metrics))
             nested = {n: x for n, x in below.items() if kind_of(x)[0] in BUCKETS}
             node = Node(name, kind, self._named(counted), [*parents, key], metrics, [], spec)

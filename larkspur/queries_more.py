@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from larkspur.engine import Engine
 from larkspur.errors import BadRequest
 from larkspur.functions import languages, text
-from larkspur.queries import ORACLE_SQL, QUERIES, SPARSE_SQL, WORDS_SQL, _shared, _tokens, _tokens_sql, add, events, ids, lines, parts, search, sparse, tree
+from larkspur.queries import ORACLE_SQL, QUERIES, SPARSE_SQL, WORDS_SQL, _shared, _tokens, _tokens_sql, add, events, ids, lines, orders, parts, search, sparse, tree
 from larkspur.streaming.ingest import session_counts, windowed_counts
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -70,6 +70,17 @@ for _lang in COMMON:
 EV = "SELECT CAST(event_id AS VARCHAR) AS _id FROM events"
 add("q_boost", ids(events, {"bool": {"should": [{"term": {"event_type": {"value": "click", "boost": 3}}}, {"match": {"event_type": {"query": "view", "boost": 0.5}}}]}}), f"{EV} WHERE event_type IN ('click', 'view')")
 add("m_quantiles_exact", tree(lines, {"m": {"quantiles": {"field": "l_quantity"}}}), "SELECT array_to_string([CAST(CAST(round(x, 3) AS DECIMAL(20,3)) AS VARCHAR) FOR x IN quantile_cont(l_quantity, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])], '|') AS m FROM lineitem")
+add("b_percentiles_exact", tree(orders, {"b": {"terms": {"field": "o_orderpriority"}, "aggs": {"p": {"percentiles": {"field": "o_totalprice", "percents": [0, 10, 50, 99.5, 100]}}, "s": {"sum": {"field": "o_totalprice"}}}}}, "b"), """
+SELECT o_orderpriority AS b, count(*) AS doc_count, array_to_string([CAST(CAST(round(x, 3) AS DECIMAL(20,3)) AS VARCHAR) FOR x IN quantile_cont(o_totalprice, [0, 0.1, 0.5, 0.995, 1])], '|') AS p, round(sum(o_totalprice), 3) AS s FROM orders GROUP BY 1""")
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    return parts(spark, d).withColumn("words", F.split(F.lower("p_name"), " "))
+
+
+add("m_cardinality_values", tree(_words, {"m": {"cardinality": {"field": "words"}}}), f"SELECT count(DISTINCT w) AS m FROM (SELECT unnest({WORDS_SQL}) AS w FROM part)")
+add("b_cardinality_values", tree(_words, {"b": {"terms": {"field": "p_brand"}, "aggs": {"m": {"cardinality": {"field": "words"}}}}}, "b"), f"""
+SELECT p_brand AS b, count(DISTINCT p_partkey) AS doc_count, count(DISTINCT w) AS m FROM (SELECT p_partkey, p_brand, unnest({WORDS_SQL}) AS w FROM part) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 add("m_sum_where", tree(events, {"m": {"sum": {"field": "value", "where": {"term": {"event_type": "click"}}}}}), "SELECT round(sum(value) FILTER (event_type = 'click'), 3) AS m FROM events")
 add("m_avg_missing", tree(sparse, {"m": {"avg": {"field": "value", "missing": 0}}}), f"SELECT round(avg(coalesce(value, 0)), 3) AS m FROM {SPARSE_SQL}")
 add("b_histogram_missing", tree(sparse, {"b": {"histogram": {"field": "value", "interval": 50, "min_doc_count": 1, "missing": -10}}}, "b"), f"SELECT floor(coalesce(value, -10) / 50) * 50 AS b, count(*) AS doc_count FROM {SPARSE_SQL} GROUP BY 1")
