@@ -240,5 +240,5 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, part_rows: int =
 
 
 def digest(embeddings: DataFrame) -> DataFrame:
-    """Every row whose vec_id is divisible by 50 against all rows."""
+    """Every row whose vec_id is divisible by 50 against all rows, as ``search`` defines it for nulls, ties and repeated rows."""
     return search(embeddings, embeddings.where(F.col("vec_id") % 50 == 0))

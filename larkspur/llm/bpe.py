@@ -262,7 +262,11 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """``(id, n_tokens, ids_sha256, decoded_sha256)`` of encoding every text and decoding it again."""
+    """``(id, n_tokens, ids_sha256, decoded_sha256)`` of encoding every text and decoding it again.
+
+    Null texts count as empty; texts of any length are encoded whole; repeated rows get equal results; columns of other
+    names are not read; an empty table gives an empty one.
+    """
     vocabulary = _sent(docs, path)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -154,7 +154,10 @@ def pieces(m: Mix) -> DataFrame:
 
 
 def taken(m: Mix, id_col: str = "doc_id") -> DataFrame:
-    """A row for each row of the documents: id, size, source_size, target and the words that the mix takes of it."""
+    """A row for each row of the documents: id, size, source_size, target and the words that the mix takes of it.
+
+    Rows with a null text have size 0 and nothing taken; repeated rows stand apart, each with its own share.
+    """
     times = m.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
     words_of = pieces(m).join(times, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("length") * F.col("times")).alias("taken"))
     full = m.units.where("size > 0").join(words_of, ["source_no", "start"], "left")
