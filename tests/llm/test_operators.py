@@ -277,6 +277,28 @@ def test_ordinal(spark, none):
     assert ordinal.digest(none, labels.limit(0)).count() == 0
 
 
+def test_ordinal_likelihood_against_plain_ascent():
+    """The learned likelihood comes near what ascent along finite differences reaches."""
+    rng = np.random.default_rng(7)
+    x = (rng.random((150, 5)) < 0.5).astype(float)
+    z = x @ np.array([2.0, -1.5, 1.0, 0.0, -0.5]) + rng.logistic(size=150)
+    y = (z > -0.5).astype(int) + (z > 1.0)
+
+    def likelihood(p):
+        cuts = np.array([p[5], p[5] + math.exp(p[6])])
+        tail = np.column_stack((np.ones(150), 1 / (1 + np.exp(-(x @ p[:5])[:, None] + cuts)), np.zeros(150)))
+        return np.log(np.maximum(tail[np.arange(150), y] - tail[np.arange(150), y + 1], 1e-9)).mean()
+
+    p = np.zeros(7)
+    for _ in range(1500):
+        p += 0.5 * np.array([(likelihood(p + h) - likelihood(p - h)) / 2e-5 for h in np.eye(7) * 1e-5])
+    rows = [(np.flatnonzero(r), np.ones(int(r.sum())), [0.0] * ordinal.SHAPES) for r in x]
+    model = ordinal.fit(rows, y, np.ones(150), 3, rounds=150, rate=0.1)
+    assert model.thresholds[0] < model.thresholds[1]
+    mine = likelihood(np.array([*model.weights[:5], model.thresholds[0], math.log(model.thresholds[1] - model.thresholds[0])]))
+    assert mine > likelihood(p) - 0.02
+
+
 # 5
 
 
@@ -373,6 +395,24 @@ def test_language(spark, none):
 # 8
 
 
+def test_parts_of_a_text_give_what_the_whole_gives(monkeypatch):
+    rng = random.Random(1)
+    count = lambda t: sum((np.bincount(c, minlength=langid.DIMS) for c in langid.gram_codes(t)), np.zeros(langid.DIMS, dtype=int))
+    texts = ["".join(rng.choice("ab é. 1ß\n") for _ in range(rng.randint(0, 40))) for _ in range(100)]
+    whole = [count(t) for t in texts]
+    assert sum(count("ab c")) == 9  # five pairs and four triples of " ab c "
+    for part in (1, 2, 3, 7):
+        monkeypatch.setattr(langid, "PART", part)
+        assert all((count(t) == w).all() for t, w in zip(texts, whole, strict=True))
+
+
+def test_language_of_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.digest(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred != 'und'")
+    right, n = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 100 and right > 0.97
+
+
 def test_urls(spark):
     rows = [
         (1, "https://a.example.net/en/1", "<link rel='canonical' href='/fr/9'>"), (2, "http://b.foo/x#t", '<head><LINK href="http://a.example.net/fr/9?z" rel=canonical></head>'),
