@@ -332,26 +332,38 @@ def likelihood(table: np.ndarray) -> float:
 
 
 def best_classes(before: np.ndarray, after: np.ndarray, same: np.ndarray, of: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
-    """For each word the class to which it would move alone: the exchange step of ``exchange`` for many words at once."""
+    """For each word the class to which it would move alone: the exchange step of ``exchange`` for many words at once.
+
+    Only the cells that a word's own counts touch are looked at: most words have few neighbours.
+    """
     new = of.copy()
-    k, diagonal = len(table), np.arange(len(table))
+    k, table = len(table), table.astype(float)
+    plain, diagonal = _xlogx(table), np.diagonal(table)
     out_c, in_c = table.sum(axis=1), table.sum(axis=0)
     for at in range(0, len(of), 2048):
         left, right, self_, old = before[at : at + 2048].astype(float), after[at : at + 2048].astype(float), same[at : at + 2048].astype(float), of[at : at + 2048]
         i = np.arange(len(old))
-        t = np.repeat(table[None], len(old), axis=0)
-        t[i, old] -= right
-        t[i, :, old] -= left
-        t[i, old, old] -= self_
-        out_n, in_n = right.sum(axis=1) + self_, left.sum(axis=1) + self_
-        out_k, in_k = np.repeat(out_c[None], len(old), axis=0), np.repeat(in_c[None], len(old), axis=0)
-        out_k[i, old] -= out_n
-        in_k[i, old] -= in_n
-        plain, corner = _xlogx(t), t[:, diagonal, diagonal]
-        to_row, to_column = _xlogx(t + right[:, None, :]) - plain, _xlogx(t + left[:, :, None]) - plain
-        gain = to_row.sum(axis=2) - to_row[:, diagonal, diagonal] + to_column.sum(axis=1) - to_column[:, diagonal, diagonal]
-        gain += _xlogx(corner + right + left + self_[:, None]) - _xlogx(corner)
-        gain -= _xlogx(out_k + out_n[:, None]) - _xlogx(out_k) + _xlogx(in_k + in_n[:, None]) - _xlogx(in_k)
+        corner, x = np.repeat(diagonal[None], len(old), axis=0), left + right + self_[:, None]
+        corner[i, old] -= x[i, old]
+        gain = _xlogx(corner + x) - _xlogx(corner)
+        for total, held in ((out_c, right.sum(axis=1) + self_), (in_c, left.sum(axis=1) + self_)):
+            rest = np.repeat(total[None], len(old), axis=0)
+            rest[i, old] -= held
+            gain -= _xlogx(rest + held[:, None]) - _xlogx(rest)
+        for counts, others, cells, logs in ((right, left, table, plain), (left, right, table.T, plain.T)):
+            word, to = np.nonzero(counts)
+            n, own, each = counts[word, to], old[word], np.arange(len(word))
+            if not len(word):
+                continue
+            a, base = cells[:, to].T, logs[:, to].T  # by class: the cell that the word's n pairs with class ``to`` would join
+            inside = to == own  # this column holds the word's other pairs still
+            a[inside] -= others[word[inside]]
+            base[inside] = _xlogx(a[inside])
+            more = _xlogx(a + n[:, None]) - base
+            more[each, own] = logs[own, to] - _xlogx(cells[own, to] - n)
+            more[each, to] = 0  # the corner has it
+            some, first = np.unique(word, return_index=True)
+            gain[some] += np.add.reduceat(more, first, axis=0)
         best = gain[:, :classes].argmax(axis=1)
         new[at : at + 2048] = np.where(gain[i, best] > gain[i, old] + 1e-9, best, old)
     return new
@@ -494,7 +506,7 @@ def transitions(seen: np.ndarray, count: np.ndarray, kinds: np.ndarray, ends: in
     return np.log10(np.maximum(np.column_stack((follow, follow[:, : len(count)] @ given)), 1e-30))
 
 
-def score(docs: DataFrame, train, id_col: str = "doc_id", classes: int = 16, head: int = 2048, alpha: float = 5.0, rounds: int = 4) -> DataFrame:
+def score(docs: DataFrame, train, id_col: str = "doc_id", classes: int = 32, head: int = 2048, alpha: float = 5.0, rounds: int = 4) -> DataFrame:
     """``(id, n_tokens, n_known, train_tokens, base_score, score)`` for every row; the model learns from rows where ``train``.
 
     Null texts are empty: one token, the end. A null id is scored and teaches nothing. Repeated rows count as

@@ -207,6 +207,27 @@ def test_exchange_finds_classes():
     assert len(set(of[0:40:2])) == len(set(of[1:40:2])) == 1 and of[0] != of[1] and of[40] == 2
 
 
+def test_moves_against_whole_tables():
+    """The class that each word alone moves to, by the likelihood of the whole table with the word in each class."""
+    rng = np.random.default_rng(3)
+    classes, words = 5, 60
+    k = classes + 1
+    of = np.append(rng.integers(0, classes, words), classes)
+    pairs = rng.poisson(0.6 * rng.random((words + 1, words + 1)) ** 3)
+    member = np.eye(k)[of]
+    table = member.T @ pairs @ member
+    alone = pairs - np.diag(np.diag(pairs))
+    before, after, same = (alone.T @ member)[:words], (alone @ member)[:words], np.diag(pairs)[:words]
+    got = brown.best_classes(before, after, same, of[:words], table, classes)
+    for w in range(words):
+        values = []
+        for c in range(classes):
+            m = member.copy()
+            m[w] = np.eye(k)[c]
+            values.append(brown.likelihood(m.T @ pairs @ m))
+        assert values[got[w]] > max(values) - 1e-6, w
+
+
 def test_unseen_words_cost_more(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "a b b", "c a d", "d b a", "e"])], "doc_id long, text string")
     tests = spark.createDataFrame([(100 + i, f"a {w}") for i, w in enumerate(["a", "b", "c", "d", "e", "zz"])], "doc_id long, text string")
