@@ -36,12 +36,9 @@ STOP = {
     "ca": "a abans ací ah així això al als aleshores algun alguna algunes alguns alhora allà allí allò altra altre altres amb ambdós ambdues apa aquell aquella aquelles aquells aquest aquesta aquestes aquests aquí baix cada cadascú cadascuna cadascunes cadascuns com contra d'un d'una d'unes d'uns dalt de del dels des després dins dintre donat doncs durant e eh el els em en encara ens entre érem eren éreu es és esta està estàvem estaven estàveu esteu et etc ets fins fora gairebé ha han has havia he hem heu hi ho i igual iguals ja l'hi la les li li'n llavors m'he ma mal malgrat mateix mateixa mateixes mateixos me mentre més meu meus meva meves molt molta moltes molts mon mons n'he n'hi ne ni no nogensmenys només nosaltres nostra nostre nostres o oh oi on pas pel pels per però perquè poc poca pocs poques potser propi qual quals quan quant que què quelcom qui quin quina quines quins s'ha s'han sa semblant semblants ses seu seus seva seves si sobre sobretot sóc solament sols son són sons sota sou t'ha t'han t'he ta tal també tampoc tan tant tanta tantes teu teus teva teves ton tons tot tota totes tots un una unes uns us va vaig vam van vas veu vosaltres vostra vostre vostres".split(),
     "ga": "a ach ag agus an aon ar arna as b' ba beirt bhúr caoga ceathair ceathrar chomh chtó chuig chun cois céad cúig cúigear d' daichead dar de deich deichniúr den dhá do don dtí dá dár dó faoi faoin faoina faoinár fara fiche gach gan go gur haon hocht i iad idir in ina ins inár is le leis lena lenár m' mar mo mé na nach naoi naonúr ná ní níor nó nócha ocht ochtar os roimh sa seacht seachtar seachtó seasca seisear siad sibh sinn sna sé sí tar thar thú triúr trí trína trínár tríocha tú um ár é éis í ó ón óna ónár".split(),
 }
-MARKS = "\u0640\u064b\u064c\u064d\u064e\u064f\u0650\u0651\u0652"  # tatweel and vowel signs
 # letters in which the words of a list are written: (pattern, by) in order
 STOP_LETTERS = {
     "el": (("[άὰ]", "α"), ("[έὲ]", "ε"), ("[ήὴ]", "η"), ("[ίϊΐὶ]", "ι"), ("[όὸ]", "ο"), ("[ύϋΰὺ]", "υ"), ("[ώὼ]", "ω"), ("ς", "σ")),
-    "fa": (("[آأإ]", "ا"), ("[یىے]", "ي"), ("ک", "ك"), ("[ةۀہ]", "ه"), (f"[{MARKS}\u0654]", "")),
-    "ckb": (("[يى]", "ی"), ("ك", "ک"), ("ه\u200c|ه$|ة", "ە"), ("ھ", "ه"), ("^ر|ڒ", "ڕ"), (f"[{MARKS}\\p{{Cf}}]", "")),
 }
 ELISION = {
     "fr": "l m t qu n s j d c jusqu quoiqu lorsqu puisqu".split(),

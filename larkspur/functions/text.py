@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.functions import languages
+from larkspur.functions import languages, scripts
 
 # character filters
 
@@ -228,22 +228,29 @@ def web(c: Column) -> Column:
     return stop(lowercase(web_tokens(c)), languages.STOP["en"])
 
 
+NORMAL_FIRST = {"fa": scripts.persian, "ckb": scripts.sorani, "hi": scripts.hindi}
+
+
 def language(lang: str) -> Callable[[Column], Column]:
     """The chain of a language pack: words, lower case, own normalisation, stop words, stems."""
 
     def run(c: Column) -> Column:
         if lang == "cjk":
-            return cjk_bigrams(c)
+            return cjk_bigrams(scripts.width(c))
         t = unicode_tokens(zero_width_non_joiner(c) if lang == "fa" else c)
         if lang == "en":
             t = possessive(t)
         if lang == "tr":
             t = apostrophe(t)
         t = lowercase(t)
+        if lang in NORMAL_FIRST:
+            t = F.transform(t, NORMAL_FIRST[lang])
         if lang in languages.ELISION:
             t = elision(t, languages.ELISION[lang])
         if lang in languages.STOP:
             t = stop(t, languages.STOP[lang], languages.STOP_LETTERS.get(lang, ()))
+        if lang == "ar":  # stop words are told before letters change
+            t = F.transform(t, scripts.arabic)
         return stemmer(lang)(t) if lang in languages.STEMMERS else t
 
     return run

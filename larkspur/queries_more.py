@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.engine import Engine
 from larkspur.errors import BadRequest
-from larkspur.functions import languages, text
+from larkspur.functions import languages, scripts, text
 from larkspur.queries import ORACLE_SQL, QUERIES, SPARSE_SQL, WORDS_SQL, _shared, _tokens, _tokens_sql, add, events, ids, lines, orders, parts, search, sparse, tree
 from larkspur.streaming.ingest import session_counts, windowed_counts
 
@@ -43,6 +43,11 @@ for _name, _chain, _sql in (
     ("x_porter_words", lambda c: text.stemmer("en")(F.split(F.lit("caresses ponies cats agreed plastered motoring hopping relational conditional triplicate hopefulness"), " ")),
      "['caress', 'poni', 'cat', 'agre', 'plaster', 'motor', 'hop', 'relat', 'condit', 'triplic', 'hope']"),
     ("x_fold_words", lambda c: _split(text.ascii_fold(F.lit("Éclair naïve straße Œuvre ægir łódź smörgås"))), "['Eclair', 'naive', 'strasse', 'OEuvre', 'aegir', 'lodz', 'smorgas']"),
+    ("x_arabic", lambda c: F.array(scripts.arabic(F.lit("أُمّة إلى آخِر"))), "['امه الي اخر']"),
+    ("x_persian", lambda c: F.array(scripts.persian(F.lit("کتابهای خانۀ"))), "['كتابهاي خانه']"),
+    ("x_sorani", lambda c: F.transform(F.split(F.lit("رووي كه"), " "), scripts.sorani), "['ڕووی', 'کە']"),
+    ("x_hindi", lambda c: F.array(scripts.hindi(F.lit("हिन्दी फ़िल्में आइए"))), "['हिंदि फिलमें अइए']"),
+    ("x_width", lambda c: F.array(scripts.width(F.lit("Ｔｅｓｔ１２ ｶﾞｷﾞﾊﾟ ｱｲ"))), "['Test12 ガギパ アイ']"),
     ("l_cjk", lambda c: text.ANALYZERS["cjk"](_with(F.lit("日本語 "), "Abc")), "['日本', '本語', 'abc']"),
 ):
     add(_name, _tokens(_chain), _tokens_sql(_sql))
