@@ -223,17 +223,19 @@ class Compiler:
             starts = reduce(F.array_intersect, [shifted(k) for k in range(len(slots))])
             found = F.size(starts)
         else:
-            paths = F.transform(at(slots[0]), lambda i: F.struct(i.alias("at"), F.lit(0).alias("cost"), F.array(i).alias("used")))
+            # a place holds one word, so only slots that share words can meet at one; else states of one place and cost are one
+            apart = len({w for s in slots for w in s}) == sum(len(set(s)) for s in slots)
+            paths = F.transform(at(slots[0]), lambda i: F.struct(i.alias("at"), F.lit(0).alias("cost"), F.array(F.lit(-1) if apart else i).alias("used")))
 
             def step(places: Column) -> Callable[[Column], Column]:
                 def go(s: Column) -> Column:
                     free = F.filter(places, lambda q: (F.abs(q - s["at"] - 1) + s["cost"] <= slop) & ~F.array_contains(s["used"], q))
-                    return F.transform(free, lambda q: F.struct(q.alias("at"), (s["cost"] + F.abs(q - s["at"] - 1)).alias("cost"), F.concat(s["used"], F.array(q)).alias("used")))
+                    return F.transform(free, lambda q: F.struct(q.alias("at"), (s["cost"] + F.abs(q - s["at"] - 1)).alias("cost"), (s["used"] if apart else F.concat(s["used"], F.array(q))).alias("used")))
 
                 return go
 
             for words in slots[1:]:
-                paths = F.flatten(F.transform(paths, step(at(words))))
+                paths = F.array_distinct(F.flatten(F.transform(paths, step(at(words)))))
             found = F.size(paths)
         predicate = F.coalesce(found > 0, F.lit(False))
         words = [w[0] for w in slots]

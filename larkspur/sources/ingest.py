@@ -121,9 +121,11 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def compact(spark: SparkSession, path: str, to: str, rows_per_file: int = 1_000_000) -> None:
-    """Rewrites an index with few larger files, sorted by time within them."""
-    df = spark.read.parquet(path)
-    df.repartitionByRange(F.col("_day")).sortWithinPartitions("`@timestamp`").write.option("maxRecordsPerFile", rows_per_file).partitionBy("_day").parquet(to)
+    """Rewrites an index with few larger files, sorted by time within them. A day of many rows is spread over tasks."""
+    df = spark.read.option("mergeSchema", "true").parquet(path)
+    most = df.groupBy("_day").count().agg(F.max("count")).first()[0] or 0
+    spread = F.pmod(F.xxhash64("_id"), F.lit(-(-most // rows_per_file) or 1))
+    df.repartition(F.col("_day"), spread).sortWithinPartitions("_day", "`@timestamp`").write.option("maxRecordsPerFile", rows_per_file).partitionBy("_day").parquet(to)
 
 
 def delete_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
