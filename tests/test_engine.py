@@ -314,3 +314,13 @@ def test_stream_ingest(spark, tmp_path):
     df, _ = e.frame("s")
     assert {(r["_id"], r["name"]) for r in df.select("_id", "name").collect()} == {("0", "n3"), ("1", "n4"), ("2", "n2")}
     assert [r[0] for r in spark.read.text(f"file://{tmp_path}/dead").collect()] == ["{broken"]
+
+
+def test_compaction_spreads_a_day_and_keeps_all_rows(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/i")
+    for k in range(3):
+        engine.ingest("log", [{"_id": f"{k}-{i}", "v": i, "@timestamp": f"2024-01-0{1 + i % 2}T00:00:00Z"} for i in range(10)])
+    ingest.compact(spark, f"file://{tmp_path}/i/log", f"file://{tmp_path}/c", rows_per_file=6)
+    got = spark.read.parquet(f"file://{tmp_path}/c")
+    assert {(r["_id"], r["v"]) for r in got.collect()} == {(f"{k}-{i}", i) for k in range(3) for i in range(10)} and got.count() == 30
+    assert max(r["count"] for r in got.groupBy(F.input_file_name()).count().collect()) <= 6
