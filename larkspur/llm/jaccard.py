@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from larkspur.llm.components import connected_components
 from larkspur.llm.line_rules import SPACES
-from larkspur.llm.names import col, fresh, quoted
+from larkspur.llm.names import col, fresh
 from larkspur.llm.storage import kept, remove, stage
 
 COUNTERS = 1 << 18
@@ -60,16 +60,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def extra(n):
+def extra(n: int) -> int:
     """By how much the first prefix of a set of ``n`` is longer than it must be, plus one."""
     return (n + 19) // 20
 
 
-def least_shared(n, percent: int):
-    """How many tokens of its longer prefix a set of ``n`` has in common with each set that it links with."""
-    return extra((percent * n + 99) // 100)
-
-
 def hashed_sets(texts: list[str], width: int, rarity: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The shingle set of each text as ascending hashes, with the least and the summed rarity of each shingle's words."""
     lists = [t.encode("utf-8", "replace").lower().split() for t in texts]
@@ -238,7 +233,7 @@ def open_members(placed: DataFrame, percent: int) -> DataFrame:
 
 
 def _enough(members: DataFrame, percent: int) -> DataFrame:
-    """Rows of members that share as many tokens as a link takes."""
+    """Rows of members that share as many tokens as a link takes: ``extra`` of the smallest set that may link."""
     need = F.floor((F.floor((percent * F.col("n") + 99) / 100) + 19) / 20)
     some = members.groupBy("k", "n").agg(F.count("*").alias("m")).where(F.col("m") >= need).select("k")
     return members.join(some, "k", "left_semi").select(*members.columns)
