@@ -183,10 +183,10 @@ def own_shingles(texts: DataFrame, width: int) -> DataFrame:
     return alone.groupBy("k").agg(F.count("*").alias("u"))
 
 
-def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, orders: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are similar. The second and third orders come first, then the texts."""
     ends = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
-    short, short_path = kept(only(reps.select("k", "p2", "p3"), "k", ends(pairs)), "prefixes")
+    short, short_path = kept(only(orders, "k", ends(pairs)), "prefixes")
     near = pairs.join(short.toDF("a", "a2", "a3"), "a").join(short.toDF("b", "b2", "b3"), "b")
     near, near_path = kept(near.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b"), "candidates")
     some = only(texts, "k", ends(near))
@@ -307,14 +307,14 @@ def links_in_families(rows: DataFrame, texts: DataFrame, rarity, width: int, per
     return with_text.groupBy("family", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def links_between(members: DataFrame, reps: DataFrame, texts: DataFrame, rarity, width: int, percent: int) -> DataFrame:
+def links_between(members: DataFrame, orders: DataFrame, texts: DataFrame, rarity, width: int, percent: int) -> DataFrame:
     """``(node, component)`` of classes ``k`` that are linked; ``members`` are (token, k, n, w)."""
     own = (100 * F.col("n") - F.col("w")) / F.col("n")  # grows with the share of shingles of its own
     central = members.groupBy("token").agg(F.min(F.struct(own.alias("own"), F.xxhash64("k").alias("draw"), "k", "n", "w")).alias("v"))
     central = central.select("token", F.col("v.k").alias("a"), F.col("v.n").alias("an"), F.col("v.w").alias("aw"))
     may = (F.col("k") != F.col("a")) & (F.col("w") >= percent * F.col("an")) & (F.col("aw") >= percent * F.col("n"))
     pairs = stage(members.join(central, "token").where(may).select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b")).distinct(), "pairs", narrow=True)
-    links = verified(pairs, reps, texts, width, percent)
+    links = verified(pairs, orders, texts, width, percent)
     parts = connected_components(links, "a", "b")
     placed = members.join(parts.toDF("k", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
     placed = stage(placed.select("token", "k", "n", "w", "c"), "placed", narrow=True)
@@ -331,25 +331,26 @@ def classes_of(docs: DataFrame, width: int, percent: int, id_col: str) -> tuple[
     rarity = spark.sparkContext.broadcast(rarity_of(docs))
     sig = stage(signatures(docs, id_col, width, percent, rarity).withColumn("row", F.monotonically_increasing_id()), "signatures")
     named = sig.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
-    classes = named.groupBy("digest").agg(F.min(F.struct("id", "h", "row")).alias("first")).withColumn("k", F.monotonically_increasing_id())
-    classes = stage(classes, "classes")
-    reps = sig.join(classes.select(F.col("first.row").alias("row"), "k"), "row").select("k", "id", "h", "n", "p1", "p2", "p3")
-    reps, reps_path = kept(reps, "representatives")
-    common, common_path = kept(shared_tokens(reps.select("k", "n", F.explode("p1").alias("token"))), "common", narrow=True)
+    # equal sets have equal prefixes, so the first one of a class goes along
+    classes = named.groupBy("digest").agg(F.min(F.struct("id", "h", "row")).alias("first"), F.first("n").alias("n"), F.first("p1").alias("p1"))
+    classes = stage(classes.withColumn("k", F.monotonically_increasing_id()), "classes")
+    common, common_path = kept(shared_tokens(classes.select("k", "n", F.explode("p1").alias("token"))), "common", narrow=True)
     common = _enough(common, percent)
-    wanted = common.select("k").distinct()
-    wanted, wanted_path = kept(reps.join(wanted, "k").select("k", "id", "h", "n"), "wanted", narrow=True)
+    wanted = classes.select("k", "first.*", "n").join(common.select("k").distinct(), "k", "left_semi")
+    wanted, wanted_path = kept(wanted, "wanted", narrow=True)
+    orders = only(sig.select("row", "p2", "p3"), "row", wanted.select(F.col("row").alias("id")))
+    orders, orders_path = kept(orders.join(wanted.select("row", "k"), "row").select("k", "p2", "p3"), "orders")
     texts, texts_path = kept(texts_of(docs, id_col, wanted.select("k", "id", "h")), "texts")
     sizes = wanted.join(own_shingles(texts, width), "k", "left").select("k", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
     sizes = stage(sizes, "sizes", narrow=True)
     members = common.join(sizes, "k").where(100 * F.col("s") >= percent * F.col("n"))
     members = members.select("token", "k", "n", ((100 + percent) * F.col("s") - percent * F.col("n")).alias("w"))
     members, members_path = kept(_enough(shared_tokens(members), percent), "members", narrow=True)
-    parts = links_between(members, reps, texts, rarity, width, percent)
+    parts = links_between(members, orders, texts, rarity, width, percent)
     heads = classes.join(parts.toDF("k", "c"), "k", "left").select("digest", F.struct("first.id", "first.h").alias("first"), F.coalesce("c", "k").alias("c"))
     linked = heads.groupBy("c").agg(F.min("first").alias("head"))
     heads = stage(heads.join(linked, "c").select("digest", "head"), "heads", narrow=True)
-    for path in (reps_path, common_path, wanted_path, texts_path, members_path):
+    for path in (orders_path, common_path, wanted_path, texts_path, members_path):
         remove(spark, path)
     return sig.select("id", "h", "n", "digest"), heads
 
