@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import ann, bpe, brown, components, html_extract, jaccard, langid, line_rules, mixing, ordinal, url_filter
+from larkspur.llm import ann, bpe, brown, components, html_extract, jaccard, langid, line_rules, mixing, ordinal, storage, url_filter
 from larkspur.llm.registry import ORACLE_SQL, vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, quality string, score string"
@@ -497,6 +497,16 @@ def test_urls_resolve_as_the_standard_says(spark):
     assert {r[0]: r[4] for r in con.execute(ORACLE_SQL["op8_url_filter"]).fetchall()} == {i: v for i, v in got.items() if i < 1003}
 
 
+def test_written_tables_leave_the_settings_as_they_were(spark):
+    names = (storage.CLEANUP, storage.PARALLEL_FIRST)
+    before = [spark.conf.get(n) for n in names]
+    df, path = storage.kept(spark.range(100).repartition(3, "id"), "numbers", narrow=True)
+    assert df.count() == 100 and [spark.conf.get(n) for n in names] == before
+    storage.remove(spark, path)
+    with pytest.raises(Exception):
+        df.count()
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(200, i) for i in range(201, 260)] + [(300 + i, 301 + i) for i in range(40)] + [(5, 5), (None, 1)]
