@@ -146,11 +146,15 @@ def mix(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 20, wei
 
 def pieces(m: Mix) -> DataFrame:
     """The part of a document in each block that it reaches into: ``start`` names the document within its
-    source, words ``at`` to ``at + length - 1`` (from 0) are those in ``block``."""
+    source, words ``at`` to ``at + length - 1`` (from 0) are those in ``block``.
+
+    Spark takes the size of exploded rows to be that of the rows before, here and for slots, so a join of the two
+    would broadcast a table of any size: pieces are to be joined by sorting.
+    """
     first, last = F.floor(F.col("start") / m.block), F.floor((F.col("start") + F.col("size") - 1) / m.block)
     cut = m.units.where("size > 0").select("source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     low, high = F.greatest(F.col("start"), F.col("block") * m.block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * m.block)
-    return cut.select("source_no", "start", "block", (low - F.col("start")).alias("at"), (high - low).alias("length"))
+    return cut.select("source_no", "start", "block", (low - F.col("start")).alias("at"), (high - low).alias("length")).hint("merge")
 
 
 def taken(m: Mix, id_col: str = "doc_id") -> DataFrame:

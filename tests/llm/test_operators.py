@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import urllib.parse
 import zlib
 from collections import Counter
@@ -102,6 +103,14 @@ def test_mixing_repeats_rows_and_makes_documents(spark, docs):
     assert sum(len(words_of(r["text"])) for r in rows) == plan and all(r["n_chars"] == len(r["text"]) for r in rows)
 
 
+def test_mixing_broadcasts_no_exploded_blocks(docs):
+    """Slots and pieces are many more rows than the small tables they are exploded from."""
+    for made in (mixing.mixed_documents(docs), mixing.taken(mixing.mix(docs))):
+        made.collect()
+        joins = re.findall(r"(\w+Join)(?:\(skew=true\))? \[source_no#\d+, block#\d+L?\]", made._jdf.queryExecution().executedPlan().toString())
+        assert set(joins) == {"SortMergeJoin"}
+
+
 def test_permutation_is_one_to_one(spark):
     for n in (1, 2, 7, 64, 101):
         got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3))).collect()]
