@@ -80,6 +80,13 @@ def test_bad_requests(engine):
         engine.search("missing", {})
 
 
+def test_document_limits_of_any_width(engine):
+    for most in (4, 2**31 - 2, 2**31 - 1, 1 << 40):
+        assert engine.query("repos", {}, doc_num_limit=most).matching().count() == 4
+    with pytest.raises(BadRequest):
+        engine.query("repos", {}, doc_num_limit=3)
+
+
 def test_scores_order_and_pages(engine):
     hits = engine.search("repos", {"query": {"match": {"desc": "quick"}}})["hits"]
     assert [h["_id"] for h in hits["hits"]] == ["2", "1"] and hits["max_score"] == hits["hits"][0]["_score"] > 0
