@@ -19,6 +19,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from larkspur.llm.workers import hand_back
+
 END = "</w>"
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 CONTROL = regex.compile("[\x1c-\x1f]")
@@ -104,10 +106,13 @@ class Codec:
         self.of_chunk = Memo(self._chunk, 1 << 17)
 
     def forget(self) -> None:
-        """Empties the memos, so that an idle worker holds the tables only."""
+        """Empties the memos, so that an idle worker holds the tables only, and no memory that was freed around them."""
         for memo in (self.fits, self.of_word, self.of_chunk):
             memo.clear()
             memo.old = {}
+        for known in self.edges:
+            known.clear()
+        hand_back()
 
     def _edge(self, t: int, side: int) -> list[tuple[int, float]]:
         """What stands at one end of ``t`` while it is being merged, from the single character to ``t``, each

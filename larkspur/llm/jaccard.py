@@ -16,7 +16,7 @@ Links are verified on the texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,7 @@ from larkspur.llm.components import connected_components
 from larkspur.llm.line_rules import SPACES
 from larkspur.llm.names import col, fresh
 from larkspur.llm.storage import kept, remove, stage
+from larkspur.llm.workers import hand_back
 
 COUNTERS = 1 << 18
 BUCKETS = 1 << 20
@@ -119,6 +120,17 @@ def _parts(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield f[part == k]
 
 
+def _lean(make: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``make``; the worker keeps neither memory that tasks before have freed nor what this one frees."""
+
+    def lean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hand_back()
+        yield from make(frames)
+        hand_back()
+
+    return lean
+
+
 def _hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -139,7 +151,7 @@ def signatures(docs: DataFrame, id_col: str, width: int, percent: int, sent) ->
                 yield pd.DataFrame({"id": g["id"].to_numpy(), "h": g["h"].to_numpy(), "n": n, "digest": digest, "p1": one, "p2": two, "p3": three})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts.mapInPandas(run, f"id {kind}, h long, n long, digest binary, p1 array<long>, p2 array<int>, p3 array<int>")
+    return texts.mapInPandas(_lean(run), f"id {kind}, h long, n long, digest binary, p1 array<long>, p2 array<int>, p3 array<int>")
 
 
 def _similar(a: set, b: set, percent: int) -> bool:
@@ -178,7 +190,7 @@ def own_shingles(texts: DataFrame, width: int) -> DataFrame:
             for g in _parts(f):
                 yield pd.DataFrame({"k": g["k"].to_numpy(), "s": [s.view(np.int64) for s, _, _ in hashed_sets(list(g["text"]), width)]})
 
-    held = texts.mapInPandas(run, "k long, s array<long>").select("k", F.explode("s").alias("s"))
+    held = texts.mapInPandas(_lean(run), "k long, s array<long>").select("k", F.explode("s").alias("s"))
     alone = held.groupBy("s").agg(F.count("*").alias("times"), F.min("k").alias("k")).where("times = 1")
     return alone.groupBy("k").agg(F.count("*").alias("u"))
 
@@ -204,7 +216,7 @@ def verified(pairs: DataFrame, orders: DataFrame, texts: DataFrame, width: int,
                 keep.append(_similar(known[a], shingle_set(tb, width), percent))
             yield f.loc[keep, ["a", "b"]]
 
-    links = stage(both.select("a", "b", "ta", "tb").mapInPandas(run, T.StructType([pairs.schema["a"], pairs.schema["b"]])), "links")
+    links = stage(both.select("a", "b", "ta", "tb").mapInPandas(_lean(run), T.StructType([pairs.schema["a"], pairs.schema["b"]])), "links")
     remove(pairs.sparkSession, short_path)
     remove(pairs.sparkSession, near_path)
     return links

@@ -3,8 +3,11 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import urllib.parse
 import zlib
 from collections import Counter
@@ -391,6 +394,41 @@ def test_long_texts_are_cut_at_spaces(codec):
     assert [c for part in codec.chunks(t, 100) for c in part] == t.split()
 
 
+IDLE = """
+import random, re, sys
+import pandas, pyarrow
+from larkspur.llm import bpe, jaccard
+from larkspur.llm.registry import vocabulary_path
+
+def mb():
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"Private_Dirty: +([0-9]+)", f.read())[1]) / 1024
+
+rng = random.Random(1)
+texts = lambda n: [" ".join("".join(rng.choices("abcdeimnorstu", k=rng.randint(3, 14))) for _ in range(n)) for _ in range(400)]
+with open(vocabulary_path(), encoding="utf-8") as f:
+    codec = bpe.Codec(f.read())
+started = mb()
+for t in texts(300):
+    codec.digest(t)
+codec.forget()
+after_tokens = mb() - started
+started = mb()
+make = lambda frames: (pandas.DataFrame({"s": [s for s, _, _ in jaccard.hashed_sets(list(f["text"]), 5)]}) for f in frames)
+for _ in jaccard._lean(make)(pandas.DataFrame({"text": texts(2000)}) for _ in range(2)):
+    pass
+print(after_tokens, mb() - started)
+"""
+
+
+def test_idle_workers_keep_little_memory():
+    """What a task has freed goes back to the system: executors count it as long as the worker lives."""
+    run = subprocess.run([sys.executable, "-c", IDLE], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), check=True)
+    tokens, sets = map(float, run.stdout.split())
+    assert tokens < 25
+    assert sets < 25
+
+
 def test_bpe_round_trip(spark, docs, none):
     rows = bpe.encode(docs, vocabulary_path())
     back = {r["doc_id"]: r["text"] for r in bpe.decode(rows, vocabulary_path()).collect()}
