@@ -1,10 +1,10 @@
 """Byte-pair encoding with a given vocabulary: a backtracking encoder and a decoder by offset table.
 
-The encoder never plays merges back. One Aho-Corasick pass over the reversed word finds every token that
-starts at each place; the encoder takes the longest that may stand after its predecessor and backs up from
-places where none fits. Two tokens may stand together if byte-pair merging of their joined text would give
-just these two, which depends on the pair alone and is kept in a table. A place that failed once is never
-tried again, so the work is linear in the length of the word.
+The encoder never plays merges back. One Aho-Corasick pass over the reversed word finds every longer token that
+starts at each place, single characters are looked up where none does; the encoder takes the longest that may
+stand after its predecessor and backs up from places where none fits. Two tokens may stand together if byte-pair
+merging of their joined text would give just these two, which depends on the pair alone and is kept in a table. A
+place that failed once is never tried again, so the work is linear in the length of the word.
 """
 
 from __future__ import annotations
@@ -36,12 +36,15 @@ def byte_alphabet() -> list[str]:
 
 
 class Memo(dict):
-    """Results of ``make`` by key. Of what was used before the last ``most`` new keys nothing is kept, so memory is bounded."""
+    """Results of ``make`` by key. Of what was used before the last ``most`` new keys nothing is kept, and nothing of texts
+    from ``length`` characters on, so memory is bounded."""
 
-    def __init__(self, make, most: int):
-        self.make, self.most, self.old = make, most, {}
+    def __init__(self, make, most: int, length: int = 0):
+        self.make, self.most, self.length, self.old = make, most, length, {}
 
     def __missing__(self, key):
+        if self.length and len(key) >= self.length:
+            return self.make(key)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -97,17 +100,20 @@ class Codec:
             sound.add(t)
             self.length[t] = len(key)
             keys[key] = t
-            self.reach.add_word(key[::-1], t)
+            if len(key) > 1:
+                self.reach.add_word(key[::-1], t)
         self.reach.make_automaton()
+        self.single = {key: t for key, t in keys.items() if len(key) == 1}
         self.shorter = {t: next((keys[key[:n]] for n in range(len(key) - 1, 0, -1) if key[:n] in keys), None) for key, t in keys.items()}
         self.base = len(self.names)
         self.fits = Memo(lambda p: self._first_merge(*divmod(p, self.base)) is None, 1 << 18)
-        self.of_word = Memo(self._word, 1 << 17)
-        self.of_chunk = Memo(self._chunk, 1 << 17)
+        self.of_word = Memo(self._word, 1 << 17, 64)
+        self.text_of_word = Memo(self._text_of_word, 1 << 17, 64)
+        self.text_of_chunk = Memo(self._chunk, 1 << 17, 64)
 
     def forget(self) -> None:
         """Empties the memos, so that an idle worker holds the tables only, and no memory that was freed around them."""
-        for memo in (self.fits, self.of_word, self.of_chunk):
+        for memo in (self.fits, self.of_word, self.text_of_word, self.text_of_chunk):
             memo.clear()
             memo.old = {}
         for known in self.edges:
@@ -154,13 +160,18 @@ class Codec:
         longest = dict(reversed(list(self.reach.iter(key))))  # by the place where tokens end; of several the first, longest, stays
         failed = bytearray(n + 1)
         tokens: list[int] = []
-        place, t = 0, longest.get(n - 1)
+        place, new, t = 0, True, None
         while place < n:
+            if new:
+                t = longest.get(n - 1 - place)
+                if t is None:
+                    t = self.single.get(key[n - 1 - place])
+                new = False
             while t is not None:
                 after = place + length[t]
                 if not failed[after] and (not tokens or fits[tokens[-1] * base + t]):
                     tokens.append(t)
-                    place, t = after, longest.get(n - 1 - after)
+                    place, new = after, True
                     break
                 t = shorter[t]
             else:
@@ -172,21 +183,39 @@ class Codec:
                 t = shorter[t]
         return tuple(tokens)
 
-    def _ids(self, chunk: str) -> list[int]:
-        """Token ids of a text without white space."""
-        out: list[int] = []
+    def _words(self, chunk: str) -> list[str | int]:
+        """The pre-tokenizer's words of a text without white space, special tokens as their ids."""
+        if chunk.isalpha() and chunk.isascii() and chunk not in self.special:
+            return [chunk.lower()]
+        out: list[str | int] = []
         for part in self.specials.split(chunk) if self.specials and "<" in chunk else (chunk,):
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                for word in PATTERN.findall(plain.lower()):
-                    out.extend(self.of_word[word] if len(word) < 64 else self._word(word))
+                plain = (part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")).lower()
+                letters = plain.rstrip(".,:;!?")
+                if letters.isalpha():  # as most: letters, or letters and marks
+                    out += [letters, plain[len(letters) :]] if len(letters) < len(plain) else [plain]
+                else:
+                    out += PATTERN.findall(plain)
         return out
 
-    def _chunk(self, chunk: str) -> tuple[str, str, int]:
-        ids = self._ids(chunk)
-        return " ".join(map(str, ids)), self.decode(ids), len(ids)
+    def _ids(self, chunk: str) -> list[int]:
+        """Token ids of a text without white space."""
+        return [i for word in self._words(chunk) for i in (self.of_word[word] if isinstance(word, str) else (word,))]
+
+    def _text(self, ids: tuple[int, ...]) -> tuple[str, str]:
+        return " ".join(map(str, ids)), self.decode(ids)
+
+    def _text_of_word(self, word: str) -> tuple[str, str]:
+        return self._text(self._word(word))
+
+    def _chunk(self, chunk: str) -> tuple[str, str]:
+        """The ids of a text without white space and what they decode to."""
+        got = [self.text_of_word[word] if isinstance(word, str) else self._text((word,)) for word in self._words(chunk)]
+        if len(got) == 1:
+            return got[0]
+        return " ".join([x for x, _ in got]), " ".join([x for _, x in got])
 
     def chunks(self, text: str, most: int = 1 << 22) -> Iterator[list[str]]:
         """White-space separated chunks of a text, in lists from about ``most`` characters each."""
@@ -210,17 +239,17 @@ class Codec:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, and SHA-256 of the ids and of the decoded text."""
-        ids, decoded, n, of_chunk = hashlib.sha256(), hashlib.sha256(), 0, self.of_chunk
+        ids, decoded, n, of_chunk = hashlib.sha256(), hashlib.sha256(), 0, self.text_of_chunk.__getitem__
         for part in self.chunks(text or ""):
-            got = [of_chunk[c] if len(c) < 64 else self._chunk(c) for c in part]
-            if got:
-                a, b, counts = zip(*got)
-                if not all(counts):
+            if part:
+                a, b = zip(*map(of_chunk, part))
+                if not all(a):
                     raise ValueError("a chunk without tokens")
                 gap = b" " if n else b""
-                ids.update(gap + " ".join(a).encode())
+                numbers = " ".join(a).encode()
+                ids.update(gap + numbers)
                 decoded.update(gap + " ".join(b).encode())
-                n += sum(counts)
+                n += numbers.count(b" ") + 1
         return n, ids.hexdigest(), decoded.hexdigest()
 
 

@@ -394,6 +394,23 @@ def test_long_texts_are_cut_at_spaces(codec):
     assert [c for part in codec.chunks(t, 100) for c in part] == t.split()
 
 
+def test_bpe_words_are_decoded_once(codec, monkeypatch):
+    """Chunks that share a word share what it decodes to; words with marks behind them are the library's."""
+    tokenizers = pytest.importorskip("tokenizers")
+
+    words = [f"word{'abcdefghij'[i]}" for i in range(10)] + ["été", "ǆs", "İz", "ß", "Σίσυφος"]
+    text = " ".join(w + mark for w in words for mark in ("", ".", ",", "?!", "...", "!a", "'s", "<"))
+    calls = []
+    monkeypatch.setattr(codec, "decode", lambda ids, f=codec.decode: calls.append(ids) or f(ids))
+    codec.forget()
+    got = codec.digest(text)
+    assert len(calls) < 40
+    library = tokenizers.Tokenizer.from_file(vocabulary_path())
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert codec.encode(text) == ids
+    assert got == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
 IDLE = """
 import random, re, sys
 import pandas, pyarrow
